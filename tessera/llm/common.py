@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,15 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per
 def utf8_bytes(text: Column) -> Column:
     """Bytes of a text; none for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def whole_characters(df: DataFrame) -> DataFrame:
+    """Columns doc_id (long) and text of a table of doc_id and bytes; bytes that make no character are left out."""
+    bound_batches(df.sparkSession)
+    return df.select("doc_id", df.columns[1]).mapInArrow(_decode, "doc_id long, text string")
