@@ -1,4 +1,4 @@
-"""Registry of the library's queries and of the SQL that they are held against."""
+"""All queries of the library, and the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import cache_queries, ingest_queries, schedule_queries, spatial_queries, telemetry_queries
+from .registry import QUERIES, SQL
+
+MODULES = (cache_queries, ingest_queries, schedule_queries, spatial_queries, telemetry_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The level-of-detail cut of the tile tree for one camera."""
+    return spatial_queries.select_legacy(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
