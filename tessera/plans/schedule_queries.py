@@ -1 +1,70 @@
-"""Queries."""
+"""Queries over requests and residents: dispatch, budgets, preemption, eviction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .fixtures import ACCESSES, FRAMES, view
+from .registry import query
+
+#: Requests: one for each access, with a priority and a class.
+_REQUESTS = f"SELECT cache_id AS session_id, seq, key AS tile_id, event_id, event_id * 31 % 1000 / 1e1 AS priority, event_id % 5 AS class_rank, value FROM ({ACCESSES}) q"
+
+
+@query(f"SELECT session_id, seq, tile_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority DESC, seq) AS place FROM ({_REQUESTS}) r WHERE tile_id % 10 <> 3) WHERE place <= 16")
+def h1_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen best requests of a session that aren't ready; ties in order of arrival."""
+    w = Window.partitionBy("session_id").orderBy(F.desc("priority"), "seq")
+    return view(spark, sf_dir, _REQUESTS).where("tile_id % 10 <> 3").withColumn("place", F.row_number().over(w)).where("place <= 16").select("session_id", "seq", "tile_id", "place")
+
+
+@query(f"SELECT session_id, tile_id, max(priority) AS priority, CAST(arg_max(class_rank, (priority, -seq)) AS BIGINT) AS class_rank, CAST(max(class_rank) AS BIGINT) AS upgraded FROM ({_REQUESTS}) r GROUP BY session_id, tile_id")
+def i6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each tile: its highest priority with that one's class, the first of ties; classes of jobs only rise."""
+    return view(spark, sf_dir, _REQUESTS).groupBy("session_id", "tile_id").agg(F.max("priority").alias("priority"), F.max_by("class_rank", F.struct("priority", (-F.col("seq")).alias("s"))).alias("class_rank"), F.max("class_rank").alias("upgraded"))
+
+
+@query(f"""SELECT session_id, arg_min(seq, (class_rank, priority, seq)) AS victim, count(*) FILTER (WHERE class_rank >= 3) AS critical_jobs, count(*) FILTER (WHERE class_rank >= 3) > 0 AS critical FROM ({_REQUESTS}) r GROUP BY session_id""")
+def h5_preemption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that a better one would preempt, and the jobs that matter for what is seen."""
+    return view(spark, sf_dir, _REQUESTS).groupBy("session_id").agg(F.min_by("seq", F.struct("class_rank", "priority", "seq")).alias("victim"), F.count_if(F.col("class_rank") >= 3).alias("critical_jobs"), (F.count_if(F.col("class_rank") >= 3) > 0).alias("critical"))
+
+
+@query(f"SELECT session_id, seq, CAST(coalesce(sum(tile_id) OVER (PARTITION BY session_id ORDER BY priority DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, coalesce(sum(tile_id) OVER (PARTITION BY session_id ORDER BY priority DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 600 AS runs FROM ({_REQUESTS}) r")
+def h6_time_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6, H4: jobs run in order of priority as long as what ran before is below the budget."""
+    before = F.coalesce(F.sum("tile_id").over(Window.partitionBy("session_id").orderBy(F.desc("priority"), "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return view(spark, sf_dir, _REQUESTS).select("session_id", "seq", before.alias("spent"), (before < 600).alias("runs"))
+
+
+@query(f"""WITH j AS (SELECT session_id, tile_id, max(seq) AS last_wanted, min(class_rank) AS class_rank FROM ({_REQUESTS}) r GROUP BY ALL), n AS (SELECT session_id, max(seq) AS now FROM ({_REQUESTS}) r GROUP BY ALL)
+SELECT session_id, tile_id, now - last_wanted AS stale, now - last_wanted > CASE WHEN class_rank = 0 THEN 2 ELSE 11 END AS cancelled FROM j JOIN n USING (session_id) WHERE last_wanted < now""")
+def e7_stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that are no longer wanted are cancelled after twelve frames, speculative ones after two."""
+    r = view(spark, sf_dir, _REQUESTS)
+    jobs = r.groupBy("session_id", "tile_id").agg(F.max("seq").alias("last_wanted"), F.min("class_rank").alias("class_rank"))
+    now = r.groupBy("session_id").agg(F.max("seq").alias("now"))
+    stale = F.col("now") - F.col("last_wanted")
+    return jobs.join(now, "session_id").where("last_wanted < now").select("session_id", "tile_id", stale.alias("stale"), (stale > F.when(F.col("class_rank") == 0, 2).otherwise(11)).alias("cancelled"))
+
+
+@query(f"""WITH m AS (SELECT session_id, tile_id, max(seq) AS last, max(class_rank) AS k, count(*) AS n FROM ({_REQUESTS}) r GROUP BY ALL), a AS (SELECT *, max(last) OVER (PARTITION BY session_id) - last AS age FROM m),
+s AS (SELECT *, round(age + log2(2e0 + tile_id) - 0.35 * k, 9) AS score, row_number() OVER (PARTITION BY session_id ORDER BY round(age + log2(2e0 + tile_id) - 0.35 * k, 9) DESC, last) AS place, count(*) OVER (PARTITION BY session_id) - 30 AS over FROM a WHERE tile_id % 7 <> 0)
+SELECT session_id, tile_id, round(score, 6) AS score, place <= over AS evicted FROM s""")
+def h14_resident_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residents by age, distance and depth; the worst go until thirty are left, protected ones excluded."""
+    m = view(spark, sf_dir, _REQUESTS).groupBy("session_id", "tile_id").agg(F.max("seq").alias("last"), F.max("class_rank").alias("k"))
+    w = Window.partitionBy("session_id")
+    m = m.withColumn("age", F.max("last").over(w) - F.col("last")).where("tile_id % 7 <> 0").withColumn("score", F.round(F.col("age") + F.log2(2.0 + F.col("tile_id")) - 0.35 * F.col("k"), 9))
+    m = m.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "last"))).withColumn("over", F.count(F.lit(1)).over(w) - 30)
+    return m.select("session_id", "tile_id", F.round("score", 6).alias("score"), (F.col("place") <= F.col("over")).alias("evicted"))
+
+
+@query(f"""SELECT session_id, frame_no, CASE WHEN event_type = 'view' THEN 'mobile' WHEN event_type = 'click' THEN 'xr' ELSE 'desktop' END AS profile, CASE WHEN event_type = 'view' THEN 20e0 WHEN event_type = 'click' THEN 13.89e0 ELSE 16.67e0 END AS target_ms,
+CAST(greatest(4, least(24, event_id % 32)) AS BIGINT) AS decode_slots FROM ({FRAMES}) q""")
+def d13_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a device profile targets, and decode slots from 4 to 24."""
+    f = view(spark, sf_dir, FRAMES)
+    mobile, xr = F.col("event_type") == "view", F.col("event_type") == "click"
+    return f.select("session_id", "frame_no", F.when(mobile, "mobile").when(xr, "xr").otherwise("desktop").alias("profile"), F.when(mobile, 20.0).when(xr, 13.89).otherwise(16.67).alias("target_ms"), F.greatest(F.lit(4), F.least(F.lit(24), F.col("event_id") % 32)).cast("long").alias("decode_slots"))
