@@ -10,7 +10,6 @@ from .fixtures import FRAMES, table, view
 from .registry import query
 
 _STAGE = "CASE event_type WHEN 'signup' THEN 'requested' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'decoding' WHEN 'purchase' THEN 'visible' END"
-_LAST = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,8 @@ def f6_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetime totals, and nearest-rank percentiles of the last 256 samples."""
     good = _events(spark, sf_dir).where("value >= 0 and not isnan(value)")
     totals = good.groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("maximum"), F.round(F.sum("value") / F.count(F.lit(1)), 6).alias("average"))
-    recent = good.withColumn("k", F.row_number().over(_LAST)).where("k <= 256")
+    last = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    recent = good.withColumn("k", F.row_number().over(last)).where("k <= 256")
     ranks = recent.groupBy(F.col("event_type").alias("name")).agg(*[F.expr(f"percentile_disc({p}) within group (order by value)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
     return totals.join(ranks, "name")
 
