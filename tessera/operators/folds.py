@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,3 +30,40 @@ def memory_bias(was: Column, loaded_share: Column) -> Column:
 def frame_bias(was: Column, ratio: Column) -> Column:
     """Coarser above 1.5 times the target frame time, finer below 1.1 times, else unchanged; between 1 and 3."""
     return F.when(ratio > 1.5, F.least(F.lit(3.0), was * 1.05)).when(ratio < 1.1, F.greatest(F.lit(1.0), was * 0.97)).otherwise(was)
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A fold whose state has several fields.
+
+    ``fields`` are (name, SQL type, start, next value) and ``inputs`` are (name, SQL type); a next value is SQL text over a,
+    the state, and b, the row, in words that Spark and DuckDB share.
+    """
+
+    fields: tuple[tuple[str, str, str, str], ...]
+    inputs: tuple[tuple[str, str], ...]
+
+    def run(self, df: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """One row for each key with its fields after its last row.  Rows whose order is equal come in the order of their inputs.
+
+        A key's rows meet in one task as an array; an empty table gives no row.
+        """
+        struct = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], *[F.col(n).cast(t).alias(n) for n, t in self.inputs])
+        start = ", ".join(f"'{n}', CAST({s} AS {t})" for n, t, s, _ in self.fields)
+        step = ", ".join(f"'{n}', CAST({e} AS {t})" for n, t, _, e in self.fields)
+        folded = df.groupBy(key).agg(F.array_sort(F.collect_list(struct)).alias("rows"))
+        state = F.expr(f"aggregate(rows, named_struct({start}), (a, b) -> named_struct({step}))")
+        return folded.select(key, state.alias("state")).select(key, "state.*")
+
+    def duck(self, source: str, key: str, order: str) -> str:
+        """The same in DuckDB's words, over a source that has the key, the inputs and the columns of the order."""
+
+        def struct(parts: list[str]) -> str:
+            return "{" + ", ".join(parts) + "}"
+
+        empty = [f"'{n}': CAST(NULL AS {t})" for n, t in self.inputs]
+        start = struct([f"'{n}': CAST({s} AS {t})" for n, t, s, _ in self.fields] + empty)
+        row = struct([f"'{n}': CAST(NULL AS {t})" for n, t, *_ in self.fields] + [f"'{n}': CAST({n} AS {t})" for n, t in self.inputs])
+        step = struct([f"'{n}': CAST({re.sub(r'(?<![A-Za-z0-9_])([ab])[.]([a-z_]+)', r"\1['\2']", e)} AS {t})" for n, t, _, e in self.fields] + empty)
+        out = ", ".join(f"s['{n}'] AS {n}" for n, *_ in self.fields)
+        return f"SELECT {key}, {out} FROM (SELECT {key}, list_reduce(list_prepend({start}, list({row} ORDER BY {order})), lambda a, b: {step}) AS s FROM ({source}) q GROUP BY {key})"

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The table as written to the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Only a plain local master may do without the setting; it gets a folder of its own.
     """
-    spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
+    return jsc.getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The table as written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
