@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import controllers, slots
+from ..operators import controllers, hierarchy, holds, legacy, slots
 from ..operators.lineage import shared_folder
 from ..streaming import lifecycle, telemetry
-from .fixtures import FRAMES, table, view
+from .fixtures import FRAMES, TILE_TABLE, duck, table, view
 from .registry import query
 
 #: A log of content events: most events move a load on, some ask, show, hide, drop or fail it.
@@ -73,3 +73,57 @@ def h2_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     requests = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("arrive"), (F.col("value") * 3600).alias("duration"), (F.col("event_id") * 31 % 100).alias("priority"))
     return slots.simulate(requests, 4)
+
+
+_HOLDS = f"SELECT session_id, frame_no AS frame, event_type IN ('view', 'click', 'error') AND value < 60 AS candidate, event_id % 17 = 0 AS advanced FROM ({FRAMES}) f"
+_CLOCK = (3, 5)
+
+
+@query(holds.hold_clock(*_CLOCK).duck(_HOLDS, "session_id", "frame"))
+def j5_hold_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a tile stood for its unfinished children, its episodes, and whether it may no longer."""
+    return holds.hold_clock(*_CLOCK).run(view(spark, sf_dir, _HOLDS), "session_id", ["frame"])
+
+
+_READS = """SELECT user_id AS cache_key, event_id, {ms} AS at_ms, CASE WHEN event_id % 6 = 1 THEN 0 ELSE 3600000 * (event_id % 200) END AS age_ms, event_id % 100 + 1 AS n_bytes, event_id % 4 > 0 AS tag, event_id % 3 = 0 AS unchanged,
+  event_id % 6 > 0 AS keeps, CAST(floor(value * 360000) AS BIGINT) AS takes_ms FROM {source}"""
+_MS = {"spark": "unix_millis(CAST(ts AS TIMESTAMP))", "duck": "epoch_us(ts) // 1000"}
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_READS.format(ms=_MS["spark"], source="{events}"), events=table(spark, sf_dir, "events"))
+
+
+@query(holds.READS.duck(_READS.format(ms=_MS["duck"], source="events"), "cache_key", "at_ms, event_id"))
+def k4_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, K5, K6: reads of each key that are fresh, stale, checked and fetched, and their bytes."""
+    return holds.READS.run(_reads(spark, sf_dir), "cache_key", ["at_ms", "event_id"])
+
+
+@query(holds.SHARED.duck(_READS.format(ms=_MS["duck"], source="events"), "cache_key", "at_ms, event_id"))
+def k3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: fetches of each key, and the requests that joined one."""
+    return holds.SHARED.run(_reads(spark, sf_dir), "cache_key", ["at_ms", "event_id"])
+
+
+_FLAGGED = f"SELECT tile_id, parent_id, depth, uri, tile_id * 31 % 10 < 7 AS in_view, tile_id * 17 % 10 < 8 AS in_range, tile_id * 7919 % 10 < 8 AS loaded, tile_id % 3 <> 0 AS hidden, tile_id * 13 % 10 < 6 AND depth < 4 AS opened FROM ({TILE_TABLE}) t"
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT *, coalesce(uri LIKE '%.glb%', false) AS glb FROM ({duck(_FLAGGED)}) q),
+a AS (SELECT tile_id, tile_id AS above, 0 AS steps FROM t UNION ALL SELECT a.tile_id, t.parent_id, steps + 1 FROM a JOIN t ON above = t.tile_id WHERE t.parent_id IS NOT NULL),
+v AS MATERIALIZED (SELECT a.tile_id, arg_min(above, steps) AS visual FROM a JOIN t ON above = t.tile_id WHERE glb GROUP BY a.tile_id),
+lost AS (SELECT tile_id FROM t WHERE opened AND glb AND NOT loaded), live AS MATERIALIZED (SELECT t.*, visual FROM t LEFT JOIN v USING (tile_id) WHERE opened AND NOT (glb AND NOT loaded)),
+gone AS MATERIALIZED (SELECT * FROM live WHERE NOT (in_view AND in_range) AND (glb OR visual IN (SELECT tile_id FROM t WHERE hidden AND tile_id NOT IN (SELECT tile_id FROM lost)))),
+collapsed AS (SELECT tile_id FROM gone WHERE parent_id IS NULL OR parent_id NOT IN (SELECT tile_id FROM gone) UNION SELECT live.tile_id FROM live JOIN collapsed c ON live.parent_id = c.tile_id),
+unloaded AS (SELECT tile_id FROM t WHERE parent_id IN (SELECT tile_id FROM collapsed)),
+shown AS (SELECT DISTINCT visual AS tile_id FROM collapsed JOIN v USING (tile_id) WHERE visual NOT IN (SELECT tile_id FROM unloaded)),
+stay AS (SELECT tile_id FROM live WHERE tile_id NOT IN (SELECT tile_id FROM collapsed)), inner_ AS (SELECT * FROM t WHERE in_view AND in_range AND tile_id IN (SELECT parent_id FROM t)),
+walk AS (SELECT tile_id, 0 AS k FROM stay UNION SELECT i.tile_id, k + 1 FROM walk w JOIN inner_ i ON i.parent_id = w.tile_id WHERE k < 3),
+opened AS (SELECT DISTINCT tile_id FROM walk WHERE k > 0 AND tile_id NOT IN (SELECT tile_id FROM stay)),
+hides AS (SELECT DISTINCT above AS tile_id FROM a JOIN opened o ON a.tile_id = o.tile_id JOIN v ON v.tile_id = a.tile_id JOIN t ON t.tile_id = above WHERE glb AND (above = visual OR NOT hidden OR above IN (SELECT tile_id FROM shown)))
+SELECT 'reconcile' AS action, tile_id FROM lost UNION ALL SELECT 'collapse', tile_id FROM collapsed UNION ALL SELECT 'unload', tile_id FROM unloaded UNION ALL SELECT 'show', tile_id FROM shown
+UNION ALL SELECT 'expand', tile_id FROM opened UNION ALL SELECT 'load', tile_id FROM t WHERE NOT loaded AND parent_id IN (SELECT tile_id FROM opened) UNION ALL SELECT 'hide', tile_id FROM hides""")
+def j13_legacy_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the expand and collapse driver does in a frame."""
+    tiles = view(spark, sf_dir, _FLAGGED)
+    return legacy.drive(tiles, hierarchy.flatten(tiles), tiles.where("opened"), depth=4)

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import slots
+from tessera.operators import hierarchy, legacy, slots
 from tessera.plans import catalog
 from tessera.plans.stateful_queries import _log
 from tessera.streaming import lifecycle, telemetry
@@ -80,3 +80,26 @@ def test_slots_equal_a_plain_loop(spark):
 def test_controller_moves(spark):
     got = catalog.queries()["g15_controller"](spark, SF_DIR).collect()
     assert len({r.reason for r in got}) > 2 and all(6 <= r.decodes <= 12 and 0.35 <= r.resident_scale <= 1 for r in got)
+
+
+def test_driver_expands_and_collapses(spark):
+    # 1 (shown) has 2, 3; 2 has 4; 4 has 5.  2 was expanded and left the range; 3 has no children.
+    cols = "tile_id long, parent_id long, uri string, in_view boolean, in_range boolean, loaded boolean, hidden boolean"
+    rows = [(1, None, "a.glb", True, True, True, True), (2, 1, "b.glb", True, False, True, True), (3, 1, "c.glb", True, True, True, False), (4, 2, "d.glb", True, True, True, None), (5, 4, "e.glb", True, True, False, False)]
+    tiles = spark.createDataFrame(rows, cols)
+    paths = hierarchy.flatten(tiles)
+
+    def actions(*expanded):
+        got = legacy.drive(tiles, paths, spark.createDataFrame([(e,) for e in expanded], "tile_id long"), 4)
+        return {(r.action, r.tile_id) for r in got.collect()}
+
+    assert actions(1, 2, 4) == {("collapse", 2), ("collapse", 4), ("unload", 4), ("unload", 5), ("show", 2)}
+    assert actions(5) == {("reconcile", 5)}
+    assert actions() == set()
+    assert actions(2, 2) == {("collapse", 2), ("unload", 4), ("show", 2)}
+
+
+def test_failures_are_reset_below(spark):
+    tiles = spark.createDataFrame([(1, None, 2, 9, True), (2, 1, 3, 9, True), (3, None, 4, 9, None)], "tile_id long, parent_id long, failures int, retry_at long, dead boolean")
+    got = legacy.reset_failures(tiles, spark.createDataFrame([(1,)], "tile_id long"), hierarchy.flatten(tiles)).orderBy("tile_id").collect()
+    assert [(r.failures, r.retry_at, r.dead) for r in got] == [(0, None, False), (0, None, False), (4, 9, None)]
