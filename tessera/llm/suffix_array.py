@@ -76,8 +76,19 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, larger: np.nda
     return sa
 
 
-def _induce_wide(t: list[int], small: list[bool], starts: list[int], lms: list[int]) -> list[int]:
-    """The same for alphabets as wide as the text, where whole-array steps don't pay."""
+def _before(t: np.ndarray, chosen: np.ndarray) -> list[int]:
+    """For each place the symbol before it if that one is chosen, else -1; the last entry stands for an empty slot."""
+    out = np.full(len(t) + 1, -1, np.int64)
+    out[1:-1] = np.where(chosen[:-1], t[:-1], -1)
+    return out.tolist()
+
+
+def _induce_wide(t: list[int], before_larger: list[int], before_small: list[int], starts: list[int], lms: list[int]) -> list[int]:
+    """The same for alphabets as wide as the text, where whole-array steps don't pay.
+
+    The loops walk the array while they fill it ahead of themselves; ``before_larger`` and ``before_small`` say at one look
+    whether the suffix before is induced, and into which bucket.
+    """
     n = len(t)
     sa = [-1] * n
     tail = starts[1:]
@@ -89,19 +100,19 @@ def _induce_wide(t: list[int], small: list[bool], starts: list[int], lms: list[i
     c = t[n - 1]
     sa[head[c]] = n - 1
     head[c] += 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = t[p]
-            sa[head[c]] = p
-            head[c] += 1
+    for p in sa:
+        c = before_larger[p]
+        if c >= 0:
+            k = head[c]
+            sa[k] = p - 1
+            head[c] = k + 1
     tail = starts[1:]
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = t[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
+    for p in reversed(sa):
+        c = before_small[p]
+        if c >= 0:
+            k = tail[c] - 1
+            sa[k] = p - 1
+            tail[c] = k
     return sa
 
 
@@ -120,10 +131,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     larger = np.bincount(t[~small], minlength=len(counts))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     wide = len(counts) > max(300, n // 500)
+    if wide:
+        listed, before_larger, before_small, buckets = t.tolist(), _before(t, ~small), _before(t, small), starts.tolist()
 
     def induced(order: np.ndarray) -> np.ndarray:
         if wide:
-            return np.array(_induce_wide(t.tolist(), small.tolist(), starts.tolist(), order.tolist()))
+            return np.array(_induce_wide(listed, before_larger, before_small, buckets, order.tolist()))
         return _induce(t, small, starts, larger, order)
 
     if len(lms) > 1:
