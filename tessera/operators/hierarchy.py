@@ -72,9 +72,12 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
     ``tiles`` has in_view, refine (whether a finer level is wanted), usable (whether good enough as a fallback) and preload.
     Downward, a level at a time, each walked tile learns its nearest ready ancestor; upward, whether it is covered.  Out of view
     subtrees are walked and requested, but not shown.  Modes: ``legacy`` shows ready pieces and counts gaps, ``mixed`` shows
-    a ready parent under them, ``atomic`` holds a ready parent until its whole frontier is ready.
+    a ready parent under them, ``atomic`` holds a ready parent until its whole frontier is ready.  ``wave`` takes two columns more:
+    ``may_hold``, whether a tile's clock and error let it stand for unfinished children, and ``dead``, whether a load has
+    failed for good and counts as covered; it holds a ready parent over a part of finer pieces, which become immune, and
+    drops a fallback to a tile whose finer pieces are all there.  It names held and advanced tiles too, for the clock.
     """
-    if mode not in ("legacy", "mixed", "atomic"):
+    if mode not in ("legacy", "mixed", "atomic", "wave"):
         raise ValueError(mode)
     first = tiles.groupBy("parent_id").agg(F.min_by("tile_id", "ord").alias("first"))
     has = first.select(F.col("parent_id").alias("tile_id"), "first")
@@ -86,50 +89,68 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
         node = node.join(whole, "tile_id", "left").withColumn("holds", F.col("opens") & ~F.col("wrapper") & F.col("shown") & F.col("in_view") & ~F.coalesce("whole", F.lit(True)))
     else:
         node = node.withColumn("holds", F.lit(False))
+    wave = mode == "wave"
+    for flag in ("may_hold", "dead"):
+        node = node.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) if wave else F.lit(False))
     node = settle(node)
-    keep = ["tile_id", "parent_id", "in_view", "shown", "usable", "preload", "wrapper", "opens", "holds", "first", "uri"]
-    level = node.where("parent_id is null").select(*keep, F.lit(None).cast("long").alias("fallback"), F.lit(False).alias("fallback_usable"))
+    keep = ["tile_id", "parent_id", "in_view", "shown", "usable", "preload", "wrapper", "opens", "holds", "first", "uri", "may_hold", "dead"]
+    level = node.where("parent_id is null").select(*keep, F.lit(None).cast("long").alias("fallback"), F.lit(False).alias("fallback_usable"), F.lit(None).cast("int").alias("fallback_level"))
     levels = [level]
-    for _ in range(depth):
+    for d in range(depth):
         above = levels[-1].where("opens and not holds").select(
             F.col("tile_id").alias("parent_id"), F.col("wrapper").alias("up_wrapper"), F.col("first").alias("up_first"),
             F.when(F.col("shown"), F.col("tile_id")).otherwise(F.col("fallback")).alias("fallback"),
             F.when(F.col("shown"), F.col("usable")).otherwise(F.col("fallback_usable")).alias("fallback_usable"),
+            F.when(F.col("shown"), F.lit(d)).otherwise(F.col("fallback_level")).alias("fallback_level"),
         )
         level = node.select(*keep).join(above, "parent_id").where("not up_wrapper or tile_id = up_first")
-        levels.append(settle(level.select(*keep, "fallback", "fallback_usable")))
+        levels.append(settle(level.select(*keep, "fallback", "fallback_usable", "fallback_level")))
     below, upward = None, []
-    for level in reversed(levels):
+    for d, level in reversed(list(enumerate(levels))):
         level = level.withColumn("next", F.when(F.col("shown"), F.col("tile_id")).otherwise(F.col("fallback"))).withColumn("next_usable", F.coalesce(F.when(F.col("shown"), F.col("usable")).otherwise(F.col("fallback_usable")), F.lit(False)))
         if below is None:
-            level = level.withColumn("all_covered", F.lit(None).cast("boolean")).withColumn("any_shown", F.lit(None).cast("boolean"))
+            level = level.withColumn("all_covered", F.lit(None).cast("boolean")).withColumn("any_shown", F.lit(None).cast("boolean")).withColumn("deepest", F.lit(None).cast("int"))
         else:
             level = level.join(below, "tile_id", "left")
         walked = F.col("all_covered").isNotNull()
         inner = walked & ~F.col("wrapper")
         some, full = F.coalesce("any_shown", F.lit(False)), F.coalesce("all_covered", F.lit(False))
+        finer = F.coalesce(F.col("deepest") > d, F.lit(False))
+        stands = inner & ~full & some & F.col("in_view") & F.col("shown") & F.col("may_hold") & finer
+        through = inner & full & F.col("in_view") & F.lit(wave)
         both = inner & ~full & some & F.lit(mode == "mixed") & F.col("in_view") & F.col("shown")
         falls = inner & ~full & ~some & F.col("next").isNotNull() & F.col("next_usable")
         leaf = ~walked & ~F.col("wrapper") & ~F.col("holds")
         level = (
-            level.withColumn("commit", F.when(inner, F.col("in_view")).otherwise(F.lit(True)))
-            .withColumn("covered", F.when(F.col("holds"), True).when(F.col("wrapper"), full).when(inner, full | both | falls).otherwise(F.col("shown")))
-            .withColumn("item", F.when(F.col("holds") | both | (leaf & F.col("shown") & F.col("in_view")), F.col("tile_id")).when(falls & F.col("in_view"), F.col("next")))
-            .withColumn("gives", F.col("item").isNotNull() | (some & F.col("commit")))
-            .withColumn("gap", inner & ~full & F.col("in_view") & ~both & ~falls)
+            level.withColumn("stands", stands).withColumn("through", through)
+            .withColumn("commit", F.when(inner, F.col("in_view") & ~stands).otherwise(F.lit(True)))
+            .withColumn("covered", F.when(F.col("holds"), True).when(F.col("wrapper"), full | F.col("dead")).when(inner, full | both | falls | stands).otherwise(F.col("shown") | F.col("dead")))
+            .withColumn("item", F.when(F.col("holds") | both | stands | (leaf & F.col("shown") & F.col("in_view")), F.col("tile_id")).when(falls & F.col("in_view"), F.col("next")))
+            .withColumn("gives", F.col("item").isNotNull() | (some & F.col("commit") & ~(through & F.col("shown") & ~finer)))
+            .withColumn("gap", inner & ~full & F.col("in_view") & ~both & ~falls & ~stands)
+            .withColumn("reach", F.greatest(F.when(F.col("item") == F.col("tile_id"), F.lit(d)).when(F.col("item").isNotNull(), F.when(F.col("shown"), F.lit(d)).otherwise(F.col("fallback_level"))), F.when(F.col("commit") & ~(through & F.col("shown") & ~finer), F.col("deepest"))))
         )
         level = settle(level)
         upward.insert(0, level)
-        below = level.where("parent_id is not null").groupBy("parent_id").agg(F.min("covered").alias("all_covered"), F.max("gives").alias("any_shown")).withColumnRenamed("parent_id", "tile_id")
+        below = level.where("parent_id is not null").groupBy("parent_id").agg(F.min("covered").alias("all_covered"), F.max("gives").alias("any_shown"), F.max("reach").alias("deepest")).withColumnRenamed("parent_id", "tile_id")
     alive, out = None, []
     for level in upward:
-        level = level.withColumn("passes", F.lit(True)) if alive is None else level.join(alive, "parent_id")
+        level = level.withColumn("passes", F.lit(True)).withColumn("kept", F.lit(False)) if alive is None else level.join(alive, "parent_id")
         out.append(level)
-        alive = level.select(F.col("tile_id").alias("parent_id"), (F.col("passes") & F.col("commit")).alias("passes"))
+        alive = level.select(F.col("tile_id").alias("parent_id"), (F.col("passes") & F.col("commit")).alias("passes"), (F.col("stands") | (F.col("kept") & F.col("commit"))).alias("kept"))
     asked = (F.col("wrapper") & F.col("first").isNull()) | (is_renderable() & ~F.col("shown") & F.col("preload"))
     roles = [level.where("passes and item is not null").select(F.col("item").alias("tile_id"), F.lit("selected").alias("role")) for level in out]
     roles += [level.where(asked).select("tile_id", F.lit("requested").alias("role")) for level in out]
     roles += [level.where("gap").select("tile_id", F.lit("gap").alias("role")) for level in out]
+    if wave:
+        every = reduce(DataFrame.unionByName, [level.select("tile_id", "item", "passes", "kept", "stands", "through", "gap", asked.alias("asked")) for level in out])
+        every = settle(every)
+        full = every.where("through").select(F.col("tile_id").alias("item"), F.lit(True).alias("stripped"))
+        given = every.where("item is not null").join(full, "item", "left").where("stripped is null or item = tile_id")
+        chosen = given.where("passes").select(F.col("item").alias("tile_id")).distinct()
+        immune = given.where("kept").select(F.col("item").alias("tile_id")).join(chosen, "tile_id", "left_anti")
+        named = [("selected", chosen), ("immune", immune)] + [(role, every.where(flag).select("tile_id")) for role, flag in (("requested", "asked"), ("gap", "gap"), ("held", "stands"), ("advanced", "through"))]
+        roles = [rows.select("tile_id", F.lit(role).alias("role")) for role, rows in named]
     if mode == "atomic":
         held = reduce(DataFrame.union, [level.where("holds").select("tile_id") for level in out])
         waiting = frontier(tiles, depth).join(held, "tile_id").join(node.select(F.col("tile_id").alias("piece"), "shown"), "piece")

@@ -255,6 +255,13 @@ def select_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.select_cut(_scored(spark, sf_dir), _DEPTH, "atomic")
 
 
+@query()
+def select_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut that holds a parent near the wanted detail while finer tiles arrive; tested on small trees."""
+    tiles = _scored(spark, sf_dir).withColumn("may_hold", F.col("usable")).withColumn("dead", F.col("tile_id") % 41 == 0)
+    return H.select_cut(tiles, _DEPTH, "wave")
+
+
 _CELLS = "(SELECT CAST(p_partkey AS DOUBLE) AS k, CAST(p_partkey % 40 AS DOUBLE) AS gx, CAST(p_partkey // 40 AS DOUBLE) AS gz, CAST(p_size AS DOUBLE) AS gy, CAST(p_partkey AS BIGINT) AS mesh_id FROM part)"
 
 

@@ -47,3 +47,24 @@ def test_entry_works(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["tile_id", "role"] and len(entry.queries()) > 30
+
+
+def wave(spark, *rows):
+    t = spark.createDataFrame([(i, p, i, uri, ready, True, refine, True, True, may, dead) for i, p, uri, ready, refine, may, dead in rows], TREE + ", may_hold boolean, dead boolean")
+    return {tuple(r) for r in hierarchy.select_cut(t, 2, "wave").collect()}
+
+
+def test_wave_holds_advances_and_drops(spark):
+    def rows(may, b_ready, b_dead):
+        return (1, None, "p.glb", True, True, may, False), (2, 1, "a.glb", True, False, False, False), (3, 1, "b.glb", b_ready, False, None, b_dead)
+
+    assert wave(spark, *rows(True, False, False)) == {(1, "selected"), (1, "held"), (2, "immune"), (3, "requested")}
+    assert wave(spark, *rows(False, False, False)) == {(2, "selected"), (3, "requested"), (1, "gap")}
+    assert wave(spark, *rows(True, True, False)) == {(2, "selected"), (3, "selected"), (1, "advanced")}
+    assert wave(spark, *rows(True, False, True)) == {(2, "selected"), (3, "requested"), (1, "advanced")}
+
+
+def test_wave_drops_a_fallback_to_an_advanced_tile(spark):
+    # 2 is not ready and has nothing below, so it rides on 1; 3 is there: 1 isn't shown with its own finer piece.
+    got = wave(spark, (1, None, "p.glb", True, True, True, False), (2, 1, "a.glb", False, True, False, False), (3, 1, "b.glb", True, False, False, False), (4, 2, "c.glb", False, False, False, False))
+    assert got == {(3, "selected"), (1, "advanced"), (2, "requested"), (4, "requested")}
