@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,14 +40,12 @@ def serve(requests: Iterable[tuple], slots: int) -> Iterator[tuple]:
         yield begin(heapq.heappop(busy), s, a, d)
 
 
-def simulate(df: DataFrame, slots: int, key: str = "session_id", parallel: int | None = None) -> DataFrame:
-    """Columns key, seq, arrive, start, finish and waited for requests of (key, seq, arrive, duration, priority).
+def walk(df: DataFrame, key: str, order: list[str], handle: Callable[[Iterator[tuple]], Iterator[tuple]], out: str, parallel: int | None = None) -> DataFrame:
+    """``handle`` over the rows of each key in order, as tuples without the key; its tuples have the columns ``out``.
 
-    Sessions are dealt to tasks by a hash of the key and sorted inside them, which spills; a task walks its rows once and holds
-    only what runs and waits, so a long session costs time and not memory.  Durations are not negative; a null duration is
-    0 and a null priority the lowest; rows without key or arrival don't take part.  Columns with other names are ignored.
+    Keys are dealt to tasks by a hash and sorted inside them, which spills; a task walks its rows once, so a long key costs
+    time and not memory, beyond what ``handle`` holds.
     """
-    lowest = -float("inf")
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -55,38 +53,43 @@ def simulate(df: DataFrame, slots: int, key: str = "session_id", parallel: int |
             yield from zip(*(c.to_pylist() for c in b.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        found: list[tuple] = []
         source = rows(batches)
         head = next(source, None)
         while head is not None:
             session = head[0]
 
-            def own(first: tuple = head, session: object = session) -> Iterator[tuple]:
+            def own(session: object = session) -> Iterator[tuple]:
                 nonlocal head
-                head = first
                 while head is not None and head[0] == session:
                     yield head[1:]
                     head = next(source, None)
 
-            for served in serve(own(), slots):
-                out.append((session, *served))
-                if len(out) >= _OUT_ROWS:
-                    yield _batch(out, schema)
-                    out = []
-        if out:
-            yield _batch(out, schema)
+            for one in handle(own()):
+                found.append((session, *one))
+                if len(found) >= _OUT_ROWS:
+                    yield _batch(found)
+                    found = []
+        if found:
+            yield _batch(found)
+
+    dealt = df.repartition(parallel, key) if parallel else df.repartition(key)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(run, f"{key} {kind}, {out}")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], [f"c{k}" for k in range(len(rows[0]))])
+
 
+def simulate(df: DataFrame, slots: int, key: str = "session_id", parallel: int | None = None) -> DataFrame:
+    """Columns key, seq, arrive, start, finish and waited for requests of (key, seq, arrive, duration, priority).
+
+    A task holds only what runs and waits.  Durations are not negative; a null duration is 0 and a null priority the lowest;
+    rows without key or arrival don't take part.  Columns with other names are ignored.
+    """
     clean = df.where(F.col(key).isNotNull() & F.col("arrive").isNotNull()).select(
         key, F.col("seq").cast("long").alias("seq"), F.col("arrive").cast("double").alias("arrive"),
-        F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("priority").cast("double"), F.lit(lowest)).alias("priority"),
+        F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("priority").cast("double"), F.lit(-float("inf"))).alias("priority"),
     )
-    dealt = clean.repartition(parallel, key) if parallel else clean.repartition(key)
-    schema = ("session", "seq", "arrive", "start", "finish")
-    served = dealt.sortWithinPartitions(key, "arrive", "seq").mapInArrow(run, f"{key} {kind}, seq long, arrive double, start double, finish double")
+    served = walk(clean, key, ["arrive", "seq"], lambda own: serve(own, slots), "seq long, arrive double, start double, finish double", parallel)
     return served.withColumn("waited", F.col("start") - F.col("arrive"))
-
-
-def _batch(rows: list[tuple], names: tuple) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    arrays = [pa.array(columns[0]), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]]
-    return pa.RecordBatch.from_arrays(arrays, list(names))

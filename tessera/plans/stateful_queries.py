@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import controllers, hierarchy, holds, legacy, slots
+from ..operators import controllers, hierarchy, holds, legacy, preparation, slots
 from ..operators.lineage import shared_folder
 from ..streaming import lifecycle, telemetry
 from .fixtures import FRAMES, TILE_TABLE, duck, table, view
@@ -127,3 +127,10 @@ def j13_legacy_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the expand and collapse driver does in a frame."""
     tiles = view(spark, sf_dir, _FLAGGED)
     return legacy.drive(tiles, hierarchy.flatten(tiles), tiles.where("opened"), depth=4)
+
+
+@query()
+def h7_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame in which each job is prepared; tested on small queues."""
+    jobs = view(spark, sf_dir, f"SELECT session_id, event_id AS seq, frame_no AS frame, event_id * 31 % 100 AS priority, event_id % 5 AS textures, event_id % 7 AS meshes FROM ({FRAMES}) f")
+    return preparation.simulate(jobs)

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import hierarchy, legacy, slots
+from tessera.operators import hierarchy, legacy, preparation, slots
 from tessera.plans import catalog
 from tessera.plans.stateful_queries import _log
 from tessera.streaming import lifecycle, telemetry
@@ -103,3 +103,17 @@ def test_failures_are_reset_below(spark):
     tiles = spark.createDataFrame([(1, None, 2, 9, True), (2, 1, 3, 9, True), (3, None, 4, 9, None)], "tile_id long, parent_id long, failures int, retry_at long, dead boolean")
     got = legacy.reset_failures(tiles, spark.createDataFrame([(1,)], "tile_id long"), hierarchy.flatten(tiles)).orderBy("tile_id").collect()
     assert [(r.failures, r.retry_at, r.dead) for r in got] == [(0, None, False), (0, None, False), (4, 9, None)]
+
+
+def test_preparation_keeps_its_budgets(spark):
+    one = preparation.Limits(costs=(1.0,) * 6, budget_ms=3.0)
+    assert list(preparation.prepare([(0, 1, 0.0, 1, 1)], one)) == [(1, 0, 1, 6)]
+    assert list(preparation.prepare([(0, 1, 0.0, 5, 0)], preparation.Limits(budget_ms=1000.0))) == [(1, 0, 2, 8)]  # two textures a frame
+    assert [r[0] for r in preparation.prepare([(0, 1, 1.0, 0, 0), (0, 2, 9.0, 0, 0), (0, 3, 9.0, 0, 0)], one)] == [2, 3, 1]
+    assert [r[0] for r in preparation.prepare([(0, 1, 1.0, 0, 0), (0, 2, 2.0, 0, 0), (0, 3, 9.0, 0, 0)], preparation.Limits(jobs=1))] == [1, 3, 2]
+    late = preparation.Limits(costs=(9.0,) * 6, budget_ms=1.0, deferral_ms=32.0)  # no step fits, so the first runs when it has waited
+    assert list(preparation.prepare([(5, 1, 0.0, 0, 0)], late))[0][2] >= 7
+    df = spark.createDataFrame([(s, k, k // 3, float(k % 4), 1, 2, "x") for s in range(3) for k in range(60)] + [(None, 1, 1, 1.0, 1, 1, "x"), (7, 1, 4, None, None, None, "x")], "session_id long, seq long, frame long, priority double, textures long, meshes long, steps string")
+    got = preparation.simulate(df).collect()
+    assert len(got) == 181 and len({(r.session_id, r.seq) for r in got}) == 181 and all(r.done_frame >= r.frame for r in got)
+    assert preparation.simulate(df.limit(0)).count() == 0
