@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import controllers, hierarchy, holds, legacy, preparation, slots
+from ..operators import controllers, hierarchy, holds, legacy, preparation, samples, slots
 from ..operators.lineage import shared_folder
-from ..streaming import lifecycle, telemetry
+from ..streaming import lifecycle, states, telemetry
 from .fixtures import FRAMES, TILE_TABLE, duck, table, view
 from .registry import query
 
@@ -134,3 +134,46 @@ def h7_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame in which each job is prepared; tested on small queues."""
     jobs = view(spark, sf_dir, f"SELECT session_id, event_id AS seq, frame_no AS frame, event_id * 31 % 100 AS priority, event_id % 5 AS textures, event_id % 7 AS meshes FROM ({FRAMES}) f")
     return preparation.simulate(jobs)
+
+
+_EVENT = "CASE event_id % 11 WHEN 0 THEN 'queue' WHEN 1 THEN 'track' WHEN 2 THEN 'unload' WHEN 3 THEN 'reprobe' WHEN 4 THEN 'force' WHEN 5 THEN CASE WHEN event_id % 4 = 0 THEN 'forget' END WHEN 6 THEN 'unload' ELSE 'resolve' END"
+_PROBES = f"SELECT user_id AS sample_id, event_id AS seq, {_EVENT} AS event, CASE WHEN event_id % 4 > 0 THEN event_id % 3 END AS mesh, CASE WHEN event_id % 4 > 0 THEN value END AS height FROM {{source}}"
+
+
+def _probes(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(_PROBES.format(source="{events}"), events=events)
+
+
+_REGISTRY_SQL = samples.REGISTRY.duck(_PROBES.format(source="events"), "sample_id", "seq")
+
+
+@query(f"SELECT *, pending = 1 OR (active = 1 AND alive = 0) AS needs_resample FROM ({_REGISTRY_SQL}) r")
+def k18_ground_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground samples that wait, stand on a mesh, are probed again or demoted."""
+    return samples.registry(_probes(table(spark, sf_dir, "events")))
+
+
+@query(_REGISTRY_SQL)
+def k18_ground_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same registry kept by a stream."""
+    stream = states.follow(_probes(_stream(spark, sf_dir)), "sample_id", ["seq"], samples.REGISTRY, samples.START, ["event", "mesh", "height"], samples.step)
+    return telemetry.latest(telemetry.drain(stream, "update", _spool_path(spark)), ["sample_id"])
+
+
+_ASKED = "SELECT user_id AS session_id, {ms} // 40000 AS at_ms FROM {source}"
+
+
+@query(samples.PASSES.duck(_ASKED.format(ms=_MS["duck"], source="events"), "session_id", "at_ms"))
+def g14_debounced_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes over the registry that run, and those that come too soon after one."""
+    asked = spark.sql(_ASKED.replace("//", "div").format(ms=_MS["spark"], source="{events}"), events=table(spark, sf_dir, "events"))
+    return samples.PASSES.run(asked, "session_id", ["at_ms"])
+
+
+@query("""SELECT 'kept' AS state, count(*) AS samples FROM events WHERE event_id % 7 > 0 UNION ALL SELECT CASE WHEN event_id % 7 > 0 THEN 'alive' ELSE 'dead' END, count(*) FROM events GROUP BY ALL""")
+def e10_unloaded_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached samples that stay, and active ones that stand on nothing, when meshes leave."""
+    cached = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 700).alias("mesh"))
+    kept, marked = samples.unloaded(cached, spark.range(0, 700, 7).withColumnRenamed("id", "mesh"))
+    states_ = kept.select(F.lit("kept").alias("state")).unionAll(marked.select(F.when(F.col("alive"), "alive").otherwise("dead").alias("state")))
+    return states_.groupBy("state").agg(F.count(F.lit(1)).alias("samples"))

@@ -5,12 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.folds import Machine
+from . import states
 
 # Stages by number (0 is none), statuses of absent content, and delays before a retry.
 STAGES = ("none", "requested", "downloading", "downloaded", "decoding", "decoded", "preparing", "renderReady", "visible", "resident")
@@ -93,15 +91,5 @@ def follow(stream: DataFrame, key: str = "node_id") -> DataFrame:
 
     A node's events of one micro-batch are put in order of (at_ms, seq); later micro-batches are taken to come later.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    columns = ", ".join(f"{n} bigint" for n in FIELDS)
-
-    def run(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = dict(zip(FIELDS, state.get)) if state.exists else dict.fromkeys(FIELDS, 0)
-        events = pd.concat(list(parts)).sort_values(["at_ms", "seq"])
-        for at_ms, event, status in zip(events["at_ms"], events["event"], events["status"]):
-            now = step(now, int(at_ms), event, None if pd.isna(status) else int(status))
-        state.update(tuple(int(now[n]) for n in FIELDS))
-        yield pd.DataFrame([{key: keys[0], **now}])
-
-    return stream.select(key, "at_ms", "seq", "event", "status").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {columns}", columns, "update", "NoTimeout")
+    start = dict.fromkeys(FIELDS, 0)
+    return states.follow(stream, key, ["at_ms", "seq"], LIFE, start, ["at_ms", "event", "status"], step)

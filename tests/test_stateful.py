@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import hierarchy, legacy, preparation, slots
+from tessera.operators import hierarchy, legacy, preparation, samples, slots
 from tessera.plans import catalog
 from tessera.plans.stateful_queries import _log
 from tessera.streaming import lifecycle, telemetry
@@ -117,3 +117,32 @@ def test_preparation_keeps_its_budgets(spark):
     got = preparation.simulate(df).collect()
     assert len(got) == 181 and len({(r.session_id, r.seq) for r in got}) == 181 and all(r.done_frame >= r.frame for r in got)
     assert preparation.simulate(df.limit(0)).count() == 0
+
+
+def test_registry_equals_steps(spark):
+    rng = random.Random(8)
+    kinds = [*samples.EVENTS, "resolve", "resolve", "unload", None, "other"]
+    log = [(rng.randrange(6), k, rng.choice(kinds), rng.choice([1, 2, None]), float(rng.randrange(50))) for k in range(2500)]
+    want = {k: samples.START for k in range(6)}
+    for sample, _, event, mesh, height in log:
+        want[sample] = samples.step(want[sample], event, mesh, height)
+    df = spark.createDataFrame([(*r, "x") for r in log], "sample_id long, seq long, event string, mesh long, height double, pending string")
+    got = samples.registry(df).collect()
+    assert {r.sample_id: {f: r[f] for f in samples.FIELDS} for r in got} == want
+    assert sum(s["demoted"] for s in want.values()) > 9 and sum(s["resolved"] for s in want.values()) > 99
+    assert samples.registry(df.limit(0)).count() == 0
+
+
+def test_registry_by_hand():
+    def after(*events):
+        s = samples.START
+        for e in events:
+            s = samples.step(s, *e)
+        return s["pending"], s["active"], s["alive"], s["ground"]
+
+    assert after(("queue", None, None), ("resolve", None, None)) == (1, 0, 0, None)
+    assert after(("queue", None, None), ("resolve", 4, 2.5)) == (0, 1, 1, 2.5)
+    assert after(("track", 4, 2.5), ("unload", 4, None), ("reprobe", None, None)) == (1, 0, 0, 2.5)
+    assert after(("track", 4, 2.5), ("force", None, None)) == (0, 1, 1, 2.5)
+    assert after(("track", 4, 2.5), ("reprobe", 5, 9.0)) == (0, 1, 1, 2.5)
+    assert after(("track", 4, 2.5), ("unload", 5, None), ("unload", 4, None), ("resolve", 5, 9.0)) == (0, 1, 1, 9.0)
