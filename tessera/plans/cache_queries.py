@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cache
+from ..operators.lineage import shared_folder
+from ..sources import store
 from .fixtures import ACCESSES, view
 from .registry import query
 
@@ -61,3 +65,22 @@ SELECT event_id, key, coalesce(t0 < busy, false) AS shared, sum(CASE WHEN t0 < b
 def k3_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: requests for a key while it is being fetched share the fetch."""
     return cache.coalesced(view(spark, sf_dir, ACCESSES).select("event_id", "key", F.unix_millis(F.col("ts").cast("timestamp")).alias("t0"), (F.unix_millis(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 100).cast("long")).alias("t1")))
+
+
+_PUTS = "SELECT 'k' || (event_id * 7 % 397) AS key, event_id AS written_at, event_id % 90 + 1 AS size FROM events"
+_MOST = 9000
+
+
+def _kept_sql(source: str) -> str:
+    return f"SELECT key, written_at, size FROM (SELECT *, sum(size) OVER (ORDER BY written_at DESC, key) AS upto FROM ({source}) q) WHERE upto <= {_MOST}"
+
+
+@query(f"""WITH p AS ({_PUTS}), b AS MATERIALIZED (SELECT key, written_at % 2 AS part, max(written_at) AS written_at, arg_max(size, written_at) AS size FROM p GROUP BY ALL), one AS ({_kept_sql('SELECT key, written_at, size FROM b WHERE part = 0')}),
+two AS ({_kept_sql('SELECT key, written_at, size FROM b WHERE part = 1 UNION ALL SELECT * FROM one WHERE key NOT IN (SELECT key FROM b WHERE part = 1)')}) SELECT key, written_at, CAST(size AS BIGINT) AS size, CAST(size AS BIGINT) AS n_bytes FROM two""")
+def s1_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches put into a store of bytes, and what it holds after evictions."""
+    folder = f"{shared_folder(spark)}/tessera-store-{uuid.uuid4().hex}"
+    rows = view(spark, sf_dir, _PUTS).select("key", "written_at", F.repeat(F.lit("x"), F.col("size").cast("int")).cast("binary").alias("content"), F.lit(None).alias("expires_at"), F.lit(None).alias("etag"))
+    for batch in (0, 1):
+        store.put(rows.where(F.col("written_at") % 2 == batch), folder, batch, _MOST)
+    return store.read(spark, folder).select("key", "written_at", "size", F.length("content").cast("long").alias("n_bytes"))
