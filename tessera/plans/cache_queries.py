@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cache
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 from ..sources import store
 from .fixtures import ACCESSES, view
 from .registry import query
@@ -79,7 +77,7 @@ def _kept_sql(source: str) -> str:
 two AS ({_kept_sql('SELECT key, written_at, size FROM b WHERE part = 1 UNION ALL SELECT * FROM one WHERE key NOT IN (SELECT key FROM b WHERE part = 1)')}) SELECT key, written_at, CAST(size AS BIGINT) AS size, CAST(size AS BIGINT) AS n_bytes FROM two""")
 def s1_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches put into a store of bytes, and what it holds after evictions."""
-    folder = f"{shared_folder(spark)}/tessera-store-{uuid.uuid4().hex}"
+    folder = scratch(spark, "store")
     rows = view(spark, sf_dir, _PUTS).select("key", "written_at", F.repeat(F.lit("x"), F.col("size").cast("int")).cast("binary").alias("content"), F.lit(None).alias("expires_at"), F.lit(None).alias("etag"))
     for batch in (0, 1):
         store.put(rows.where(F.col("written_at") % 2 == batch), folder, batch, _MOST)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import controllers, hierarchy, holds, legacy, preparation, samples, slots
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 from ..streaming import lifecycle, states, telemetry
 from .fixtures import FRAMES, TILE_TABLE, duck, table, view
 from .registry import query
@@ -34,25 +32,18 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, so a file will do
 
 
-def _spool_path(spark: SparkSession) -> str:
-    path = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 @query(lifecycle.LIFE.duck(_LOG.format(ms="epoch_us(ts) // 1000", source="events"), "node_id", "at_ms, seq"))
 def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same states kept by a stream, and the last of each node."""
     stream = lifecycle.follow(_log(_stream(spark, sf_dir)))
-    return telemetry.latest(telemetry.drain(stream, "update", _spool_path(spark)), ["node_id"])
+    return telemetry.latest(telemetry.drain(stream, "update", scratch(spark, "stream")), ["node_id"])
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS name, count(*) AS count, round(sum(value), 4) AS total, max(value) AS maximum FROM events WHERE value >= 0 GROUP BY ALL""")
 def s4_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4, F3 over a stream: metrics in windows of event time; all of the log comes in one go, so nothing is late."""
     stream = telemetry.windowed(_stream(spark, sf_dir))
-    out = telemetry.latest(telemetry.drain(stream, "update", _spool_path(spark)), ["start", "name"])
+    out = telemetry.latest(telemetry.drain(stream, "update", scratch(spark, "stream")), ["start", "name"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "count", F.round("total", 4).alias("total"), "maximum")
 
 
@@ -157,7 +148,7 @@ def k18_ground_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k18_ground_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same registry kept by a stream."""
     stream = states.follow(_probes(_stream(spark, sf_dir)), "sample_id", ["seq"], samples.REGISTRY, samples.START, ["event", "mesh", "height"], samples.step)
-    return telemetry.latest(telemetry.drain(stream, "update", _spool_path(spark)), ["sample_id"])
+    return telemetry.latest(telemetry.drain(stream, "update", scratch(spark, "stream")), ["sample_id"])
 
 
 _ASKED = "SELECT user_id AS session_id, {ms} // 40000 AS at_ms FROM {source}"

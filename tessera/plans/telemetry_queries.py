@@ -60,20 +60,21 @@ def _reduced(start: str, step: str) -> str:
   round({_reduced('1e0', 'CASE WHEN b / 40 > 1.3 THEN least(10, a * 1.1) ELSE greatest(1, a * 0.98) END')}, 6) AS memory_bias, round({_reduced('1e0', 'CASE WHEN b / 16 > 1.5 THEN least(3, a * 1.05) WHEN b / 16 < 1.1 THEN greatest(1, a * 0.97) ELSE a END')}, 6) AS frame_bias FROM events GROUP BY user_id""")
 def g1_moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving averages of frame time and cost, and the two error biases."""
-    e, order, v = _events(spark, sf_dir), ["ts", "event_id"], F.col("value")
-    time = folds.fold(e, "user_id", order, F.greatest(v, F.lit(1.0)), F.lit(16.0), folds.ewma(0.9), "frame_time")
-    cost = folds.fold(e, "user_id", order, v, F.lit(None).cast("double"), folds.ewma(0.85), "frame_cost")
-    memory = folds.fold(e, "user_id", order, v / 40, F.lit(1.0), folds.memory_bias, "memory_bias")
-    frame = folds.fold(e, "user_id", order, v / 16, F.lit(1.0), folds.frame_bias, "frame_bias")
-    joined = time.join(cost, "user_id").join(memory, "user_id").join(frame, "user_id")
-    return joined.select(F.col("user_id").alias("session_id"), *[F.round(c, 6).alias(c) for c in ("frame_time", "frame_cost", "memory_bias", "frame_bias")])
+    v = F.col("value")
+    found = {
+        "frame_time": folds.Average(F.greatest(v, F.lit(1.0)), 16.0, folds.ewma(0.9)), "frame_cost": folds.Average(v, None, folds.ewma(0.85)),
+        "memory_bias": folds.Average(v / 40, 1.0, folds.memory_bias), "frame_bias": folds.Average(v / 16, 1.0, folds.frame_bias),
+    }
+    out = folds.averages(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.to_date("ts"), found)
+    return out.select(F.col("user_id").alias("session_id"), *[F.round(c, 6).alias(c) for c in found])
 
 
 @query(f"SELECT user_id AS session_id, event_type AS phase, round({_reduced('CAST(NULL AS DOUBLE)', 'coalesce(0.8 * a + 0.2 * b, b)')}, 6) AS cost FROM events GROUP BY user_id, event_type")
 def g3_phase_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A moving average of each phase's cost."""
-    e = _events(spark, sf_dir).withColumn("k", F.struct("user_id", "event_type"))
-    return folds.fold(e, "k", ["ts", "event_id"], F.col("value"), F.lit(None).cast("double"), folds.ewma(0.8), "cost").select(F.col("k.user_id").alias("session_id"), F.col("k.event_type").alias("phase"), F.round("cost", 6).alias("cost"))
+    found = {"cost": folds.Average(F.col("value"), None, folds.ewma(0.8))}
+    out = folds.averages(_events(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], F.to_date("ts"), found)
+    return out.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("phase"), F.round("cost", 6).alias("cost"))
 
 
 @query("""SELECT event_id, status, status IN (400, 401, 403) AS session_failure, status IN (404, 410, 422) AS absent, failures, CASE WHEN status IN (404, 410, 422) AND failures >= 3 THEN greatest(least(8000e0, 500 * pow(2, least(failures - 1, 10))), 30000) ELSE least(8000e0, 500 * pow(2, least(failures - 1, 10))) END AS delay_ms,

@@ -146,3 +146,59 @@ def test_registry_by_hand():
     assert after(("track", 4, 2.5), ("force", None, None)) == (0, 1, 1, 2.5)
     assert after(("track", 4, 2.5), ("reprobe", 5, 9.0)) == (0, 1, 1, 2.5)
     assert after(("track", 4, 2.5), ("unload", 5, None), ("unload", 4, None), ("resolve", 5, 9.0)) == (0, 1, 1, 9.0)
+
+
+def test_long_keys_are_walked_with_the_same_result(spark):
+    from tessera.operators import controllers, folds, holds
+    from tessera.plans import stateful_queries as sq
+    from tessera.plans.fixtures import view
+    from tessera.plans.motion_queries import _CREEP, IDLE
+
+    log = _log(spark.read.parquet(f"{SF_DIR}/events.parquet"))
+    probes = sq._probes(spark.read.parquet(f"{SF_DIR}/events.parquet"))
+    frames = view(spark, SF_DIR, sq._SAMPLES.replace("frame_no / 9", "frame_no div 9"))
+    cases = [
+        (lifecycle.LIFE, log, "node_id", ["at_ms", "seq"]), (samples.REGISTRY, probes, "sample_id", ["seq"]), (controllers.CONTROLLER, frames, "session_id", ["frame_no"]),
+        (holds.hold_clock(3, 5), view(spark, SF_DIR, sq._HOLDS), "session_id", ["frame"]), (holds.hold_clock(3, 0), view(spark, SF_DIR, sq._HOLDS), "session_id", ["frame"]),
+        (holds.READS, sq._reads(spark, SF_DIR), "cache_key", ["at_ms", "event_id"]), (holds.SHARED, sq._reads(spark, SF_DIR), "cache_key", ["at_ms", "event_id"]), (IDLE, view(spark, SF_DIR, _CREEP), "session_id", ["frame_no"]),
+    ]
+    for machine, df, key, order in cases:
+        df = df.unionByName(df.where(f"{key} % 7 = 0").withColumn(key, df[key] * 0)).withColumn(key, df[key] - 1).selectExpr(f"nullif({key}, -1) AS {key}", *[c for c in df.columns if c != key])
+        want = sorted(map(tuple, machine.run(df, key, order).collect()), key=repr)
+        typical = df.groupBy(key).count().selectExpr("percentile_disc(0.6) within group (order by count)").first()[0]
+        got = sorted(map(tuple, machine.run(df, key, order, most_rows=typical).collect()), key=repr)
+        assert got == want and len(got) > 5
+    assert isinstance(folds.MOST_ROWS, int)
+
+
+def test_averages_in_blocks_equal_a_loop(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import folds
+
+    rng = random.Random(4)
+    rows = [(k % 3, k, rng.choice([None, *[rng.random() * 80 for _ in range(12)]])) for k in range(3000)] + [(9, 1, None)]
+    df = spark.createDataFrame(rows, "key long, seq long, value double")
+    found = {"mean": folds.Average(F.col("value"), None, folds.ewma(0.5)), "slow": folds.Average(F.col("value"), 16.0, folds.ewma(0.99)), "memory": folds.Average(F.col("value") / 40, 1.0, folds.memory_bias), "frame": folds.Average(F.col("value") / 16, 1.0, folds.frame_bias)}
+    for width in (1, 40, 10**9):
+        got = {r.key: r for r in folds.averages(df, ["key"], ["seq"], F.floor(F.col("seq") / width), found).collect()}
+        for key in range(3):
+            mean, slow, memory, frame = None, 16.0, 1.0, 1.0
+            for _, _, v in (r for r in rows if r[0] == key and r[2] is not None):
+                mean = v if mean is None else 0.5 * mean + 0.5 * v
+                slow = 0.99 * slow + 0.01 * v
+                memory = min(10, memory * 1.1) if v / 40 > 1.3 else max(1, memory * 0.98)
+                frame = min(3, frame * 1.05) if v / 16 > 1.5 else max(1, frame * 0.97) if v / 16 < 1.1 else frame
+            assert all(abs(x - y) < 1e-9 for x, y in zip((mean, slow, memory, frame), got[key][1:]))
+        assert tuple(got[9][1:]) == (None, 16.0, 1.0, 1.0)
+
+
+def test_steps_read_nulls_as_sql():
+    from tessera.operators.steps import compiled
+
+    def value(text, **b):
+        return compiled(text)({}, b)
+
+    assert value("b.x = 1 OR TRUE", x=None) is True and value("b.x = 1 AND TRUE", x=None) is None and value("NOT b.x IN (1, 2)", x=3) is True
+    assert value("CASE WHEN b.x > 0 THEN 1 END", x=None) is None and value("least(b.x, 4) - 2 * 3", x=None) == -2
+    assert value("b.x IS NOT NULL", x=0) is True and value("pow(2, 3) / 4 + 1e0") == 3.0
