@@ -1,27 +1,41 @@
-"""Cache analytics without replay: hits by stack distance, HTTP freshness, shared fetches."""
+"""Cache analytics: hits of a least-recently-used cache, HTTP freshness, shared fetches."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slots import walk
+
 
-def lru_hits(accesses: DataFrame, cap: int, newest_stays: bool = False) -> DataFrame:
+def lru_hits(accesses: DataFrame, cap: int, newest_stays: bool = False, parallel: int | None = None) -> DataFrame:
     """Columns cache_id, seq, key, prev, hit for accesses (cache_id, seq, key, size), whose key has one size.
 
-    An access hits if its key was seen and its size plus that of the distinct other keys since fits the cap.  Each distinct
-    key is counted at its last access before: the one whose next access isn't before the current one.
-    ``newest_stays``: an entry larger than the cap is kept until another comes.
+    After each access the least recently used keys go until the rest fits the cap; ``prev`` is the last access of the key.
+    ``newest_stays``: the key just used is never its own victim.  A null size is 0, and null keys are one key.
+
+    Each cache is walked once in order of seq.  Its task holds the keys in the cache alone, and no pairs of accesses are made.
     """
-    w = Window.partitionBy("cache_id", "key").orderBy("seq")
-    a = accesses.select("cache_id", "seq", "key", "size").withColumns({"prev": F.lag("seq").over(w), "next": F.coalesce(F.lead("seq").over(w), F.lit(1 << 62))})
-    b = a.select(F.col("cache_id").alias("c"), F.col("seq").alias("s"), F.col("next").alias("n"), F.col("size").alias("z"))
-    pairs = a.join(b, (F.col("cache_id") == F.col("c")) & (F.col("s") > F.col("prev")) & (F.col("s") < F.col("seq")) & (F.col("n") >= F.col("seq")), "left")
-    spans = pairs.groupBy("cache_id", "seq", "key", "size", "prev").agg(F.coalesce(F.sum("z"), F.lit(0)).alias("others"))
-    fits = F.col("size") + F.col("others") <= cap
-    if newest_stays:
-        fits = fits | (F.col("prev") == F.col("seq") - 1)
-    return spans.select("cache_id", "seq", "key", "prev", (F.col("prev").isNotNull() & fits).alias("hit"))
+    kinds = {f.name: f.dataType.simpleString() for f in accesses.schema.fields}
+    prev = F.lag("seq").over(Window.partitionBy("cache_id", "key").orderBy("seq"))
+    rows = accesses.select("cache_id", "seq", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size"), prev.alias("prev"))
+    least = 1 if newest_stays else 0
+
+    def replay(own: Iterator[tuple]) -> Iterator[tuple]:
+        held: OrderedDict[object, int] = OrderedDict()
+        total = 0
+        for seq, key, size, before in own:
+            was = held.pop(key, None)
+            held[key] = size
+            total += size - (was or 0)
+            while total > cap and len(held) > least:
+                total -= held.popitem(last=False)[1]
+            yield seq, key, before, was is not None
+
+    return walk(rows, "cache_id", ["seq"], replay, f"seq {kinds['seq']}, key {kinds['key']}, prev {kinds['seq']}, hit boolean", parallel)
 
 
 def freshness(cache_control: Column, age_s: Column, expires_ms: Column, now_ms: Column, most_ms: int) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import folds, quantiles
 from .fixtures import FRAMES, table, view
 from .registry import query
 
@@ -47,8 +47,9 @@ def f4_counters_and_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
   max(event_id) - min(event_id) AS delta, round(sum(value) / 1048576, 12) AS megabytes FROM events GROUP BY user_id""")
 def f11_flight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames, mean, maximum and percentiles of a flight, and what its counters moved by."""
-    p = [F.expr(f"percentile_disc({q}) within group (order by value)").alias(n) for q, n in ((0.95, "p95"), (0.99, "p99"))]
-    return _events(spark, sf_dir).groupBy(F.col("user_id").alias("session_id")).agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("average"), F.max("value").alias("maximum"), *p, (F.max("event_id") - F.min("event_id")).alias("delta"), F.round(F.sum("value") / 1048576, 12).alias("megabytes"))
+    e = _events(spark, sf_dir).withColumnRenamed("user_id", "session_id")
+    sums = e.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("average"), F.max("value").alias("maximum"), (F.max("event_id") - F.min("event_id")).alias("delta"), F.round(F.sum("value") / 1048576, 12).alias("megabytes"))
+    return sums.join(quantiles.nearest_rank(e, ["session_id"], "value", {"p95": 0.95, "p99": 0.99}), "session_id")
 
 
 def _reduced(start: str, step: str) -> str:

@@ -1,9 +1,12 @@
 """Small trees, frames and containers with results worked out by hand."""
 
+import math
+import random
+
 import pytest
 
 from tessera.functions.geodesy import LocalFrame
-from tessera.operators import cache, hierarchy
+from tessera.operators import cache, hierarchy, quantiles
 from tessera.plans.ingest_queries import container
 from tessera.sources import glb
 
@@ -31,6 +34,32 @@ def test_lru_of_three(spark):
     assert [r.hit for r in got] == [False, False, True, False, False, True]
 
 
+@pytest.mark.parametrize("newest_stays", [False, True])
+def test_lru_equals_stack_distances(spark, newest_stays):
+    rng = random.Random(6)
+    size = {k: rng.randint(0, 30) for k in range(12)} | {None: 3}
+    rows = [(c, s, k, size[k]) for c in (1, 2, None) for s, k in enumerate(rng.choices([*range(12), None], k=300))]
+    got = cache.lru_hits(spark.createDataFrame(rows, "cache_id long, seq long, key long, size long"), 60, newest_stays).collect()
+    want = set()
+    for c in (1, 2, None):
+        keys = [r[2] for r in rows if r[0] == c]
+        for s, k in enumerate(keys):
+            prev = max((p for p in range(s) if keys[p] == k), default=None)
+            fits = prev is not None and (size[k] + sum(size[x] for x in set(keys[prev + 1 : s])) <= 60 or (newest_stays and prev == s - 1))
+            want.add((c, s, k, prev, fits))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_ranks(spark):
+    rng = random.Random(2)
+    rows = [(k, v) for k in (1, 2, None) for v in rng.choices([1.0, 2.0, 5.0, 7.5, None], k=rng.randint(20, 90))] + [(3, None), (4, 8.0)]
+    found = quantiles.nearest_rank(spark.createDataFrame(rows, "k long, v double"), ["k"], "v", {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}).collect()
+    for r in found:
+        values = sorted(v for k, v in rows if k == r.k and v is not None)
+        assert tuple(r[1:]) == tuple(values[max(0, math.ceil(len(values) * f) - 1)] for f in (0.0, 0.5, 0.95, 1.0))
+    assert {r.k for r in found} == {1, 2, None, 4}
+
+
 def test_containers():
     assert glb.parse(container(3.0)) | {"reason": None} == {"supported": True, "reason": None, "primitives": 1, "vertices": 3, "triangles": 1, "low": [3.0, 0.0, 0.0], "high": [4.0, 0.0, 1.0], "image_bytes": 0, "stream_bytes": 48}
     for bad in (None, b"", container(0.0, 1), container(0.0)[:60], container(0.0, extensionsRequired=["X"]), container(0.0, buffers=[{"uri": "x"}])):
