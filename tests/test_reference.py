@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tessera.functions.geodesy import LocalFrame
-from tessera.operators import cache, hierarchy, quantiles
+from tessera.operators import cache, eviction, hierarchy, quantiles
 from tessera.plans.ingest_queries import container
 from tessera.sources import glb
 
@@ -50,6 +50,17 @@ def test_lru_equals_stack_distances(spark, newest_stays):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_evictions_by_hand(spark):
+    cols = "session_id long, tile_id long, seq long, selected boolean, pinned boolean, immune boolean, walked boolean, age long, dist double, sse double, tier string"
+    rows = [(1, t, t, t == 0, t == 1, None, t > 4, t if t < 4 else None, 100.0, float(t), "x") for t in range(8)] + [(None, t, t, None, None, None, None, 5, None, None, "x") for t in range(4)] + [(2, 1, 1, False, False, False, False, 9, 9.0, 9.0, "x")]
+    got = {tuple(r) for r in eviction.two_tiers(spark.createDataFrame(rows, cols), 3).collect()}
+    assert got == {(1, 3, 1), (1, 2, 1), (1, 4, 1), (1, 7, 2), (1, 6, 2), (None, 0, 1)}
+    made = spark.createDataFrame([(1, 1, 1, 5.0, True, 100, 0), (1, 2, 2, 4.0, None, 10, None), (1, 3, 3, 4.0, False, 10, 1), (1, 4, 4, None, False, 10, 1), (2, 5, 5, 1.0, False, 5, 5)], "session_id long, tile_id long, seq long, score double, held boolean, source_bytes long, gpu_bytes long")
+    assert [tuple(r) for r in eviction.under_caps(made, (9, 115, 99)).orderBy("place").collect()] == [(1, 2, 1), (1, 3, 2)]
+    assert [r.tile_id for r in eviction.under_caps(made, (9, 50, 99)).orderBy("place").collect()] == [2, 3, 4]
+    assert eviction.under_caps(made.limit(0), (1, 1, 1)).count() == 0
+
+
 def test_nearest_ranks(spark):
     rng = random.Random(2)
     rows = [(k, v) for k in (1, 2, None) for v in rng.choices([1.0, 2.0, 5.0, 7.5, None], k=rng.randint(20, 90))] + [(3, None), (4, 8.0)]
