@@ -78,3 +78,19 @@ def scene_roots(nodes: DataFrame, scenes: DataFrame) -> DataFrame:
     chosen = scenes.select("doc_id", F.explode("nodes").alias("node")).distinct()
     free = nodes.join(has, "doc_id", "left_anti").join(named, ["doc_id", "node"], "left_anti")
     return nodes.join(chosen, ["doc_id", "node"], "left_semi").select("doc_id", "node").union(free.select("doc_id", "node"))
+
+
+def live_zones(log: DataFrame, most: int, key: str = "session_id") -> DataFrame:
+    """Columns key, zone_id, kind, place and ``bound`` for the zones of a log (key, seq, zone_id, kind, event) that were added and not removed since.
+
+    Each kind is a registry of its own; a removal takes the id out of all.  ``place`` is the order in which the zones of a kind
+    were added, from 1, and the first ``most`` are bound; one that is added again keeps its place.  Null events, and removals of what
+    isn't there, change nothing.
+    """
+    last_removed = log.where("event = 'remove'").groupBy(key, "zone_id").agg(F.max("seq").alias("_gone"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("zone_id").eqNullSafe(F.col("_z"))
+    gone = last_removed.select(F.col(key).alias("_k"), F.col("zone_id").alias("_z"), "_gone")
+    added = log.where("event = 'add'").join(gone, same, "left").where("_gone is null or seq > _gone")
+    live = added.groupBy(key, "zone_id", "kind").agg(F.min("seq").alias("_seq"))
+    place = F.row_number().over(Window.partitionBy(key, "kind").orderBy("_seq", "zone_id"))
+    return live.select(key, "zone_id", "kind", place.alias("place")).withColumn("bound", F.col("place") <= most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import hierarchy, quantiles, states
+from ..operators import hierarchy, legacy, quantiles, states
 from .fixtures import FRAMES, TILE_TABLE, duck, table, view
 from .registry import query
 
@@ -94,3 +94,25 @@ def s5_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = good.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("value")).alias("mean"))
     found = found.join(quantiles.nearest_rank(good, ["event_type"], "value", {"p95": 0.95}), "event_type").withColumn("p95", F.floor("p95"))
     return found.select(F.format_string("%s %d mean %d p95 %d", "event_type", "n", "mean", "p95").alias("line"))
+
+
+_ZONES = "SELECT user_id AS session_id, event_id AS seq, event_id * 7 % 23 AS zone_id, CASE WHEN event_id % 3 = 0 THEN 'polygon' ELSE 'circle' END AS kind, CASE event_id % 5 WHEN 0 THEN 'remove' WHEN 1 THEN NULL ELSE 'add' END AS event FROM events"
+
+
+@query(f"""WITH z AS ({_ZONES}), a AS (SELECT session_id, zone_id, kind, min(seq) AS first FROM z WHERE event = 'add' AND seq > coalesce((SELECT max(g.seq) FROM z g WHERE g.event = 'remove' AND g.session_id = z.session_id AND g.zone_id = z.zone_id), -1) GROUP BY ALL)
+SELECT session_id, zone_id, kind, CAST(row_number() OVER (PARTITION BY session_id, kind ORDER BY first) AS INTEGER) AS place, row_number() OVER (PARTITION BY session_id, kind ORDER BY first) <= 4 AS bound FROM a""")
+def k23_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones that are there after a log of additions and removals, and the first that are bound."""
+    return states.live_zones(view(spark, sf_dir, _ZONES), 4)
+
+
+_FAILED = f"SELECT tile_id, parent_id, CAST(tile_id % 4 AS INTEGER) AS failures, CASE WHEN tile_id % 4 > 0 THEN tile_id % 900 END AS retry_at, tile_id % 8 = 3 AS dead FROM ({TILE_TABLE}) t"
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED ({duck(_FAILED)}), w AS (SELECT tile_id FROM t WHERE tile_id IN (2, 103, 1007) UNION SELECT t.tile_id FROM t JOIN w ON t.parent_id = w.tile_id)
+SELECT t.tile_id, CASE WHEN w.tile_id IS NULL THEN failures ELSE 0 END AS failures, CASE WHEN w.tile_id IS NULL THEN retry_at END AS retry_at, dead AND w.tile_id IS NULL AS dead FROM t LEFT JOIN w USING (tile_id)""")
+def j15_reset_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures forgotten at and below some tiles."""
+    t = view(spark, sf_dir, _FAILED)
+    within = spark.createDataFrame([(2,), (103,), (1007,)], "tile_id long")
+    return legacy.reset_failures(t, within, hierarchy.flatten(t)).select("tile_id", "failures", "retry_at", "dead")
