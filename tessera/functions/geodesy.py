@@ -89,15 +89,13 @@ class LocalFrame:
         return tuple(-sum(self.to_tile[k][c] * self.origin[k] for k in range(3)) for c in range(3))
 
     def quaternion(self) -> tuple[float, float, float, float]:
-        """(x, y, z, w) of the turn from tile axes to local ones; the largest component is found first."""
+        """(x, y, z, w) of the turn from tile axes to local ones; w is positive where the trace is, else the largest of the others."""
         m = tuple(zip(*self.to_tile))
         t = m[0][0] + m[1][1] + m[2][2]
-        options = [t, m[0][0], m[1][1], m[2][2]]
-        k = max(range(4), key=lambda i: options[i])
-        if k == 0:
+        if t > 0:
             s = math.sqrt(max(t + 1, 0)) * 2
             return (m[2][1] - m[1][2]) / s, (m[0][2] - m[2][0]) / s, (m[1][0] - m[0][1]) / s, s / 4
-        i = k - 1
+        i = max(range(3), key=lambda k: m[k][k])
         j, h = (i + 1) % 3, (i + 2) % 3
         s = math.sqrt(max(1 + m[i][i] - m[j][j] - m[h][h], 0)) * 2
         q = [0.0] * 3

@@ -94,3 +94,33 @@ def preparation_score(to_tile: Vector, velocity: Vector, forward: Vector, select
     far, speed = F.greatest(length(to_tile), F.lit(1e-6)), F.greatest(length(velocity), F.lit(1e-6))
     ahead, travel = dot(to_tile, forward) / far, dot(to_tile, velocity) / (far * speed)
     return base + F.coalesce(2 * ahead + 2.5 * travel - F.when(ahead < -0.2, 3.0).otherwise(0.0), F.lit(0.0))
+
+
+def quaternion(m: tuple[Vector, Vector, Vector]) -> tuple[Column, Column, Column, Column]:
+    """(x, y, z, w) of a rotation given by the rows of its matrix.
+
+    w is found first and is positive where the trace is, else the largest of the others is.
+    """
+    (a, b, c), (d, e, f), (g, h, i) = m
+    squares = {"w": a + e + i, "x": a - e - i, "y": e - a - i, "z": i - a - e}
+    parts = {
+        "w": {"x": h - f, "y": c - g, "z": d - b}, "x": {"w": h - f, "y": b + d, "z": c + g}, "y": {"w": c - g, "x": b + d, "z": f + h}, "z": {"w": d - b, "x": c + g, "y": f + h},
+    }
+    turn = F.greatest(squares["x"], squares["y"], squares["z"])
+    first = {"w": squares["w"] > 0} | {k: squares[k] == turn for k in "xyz"}
+
+    def component(name: str) -> Column:
+        found = None
+        for k, square in squares.items():
+            root = F.sqrt(F.greatest(square + 1, F.lit(0.0)))
+            value = root / 2 if k == name else parts[k][name] / (2 * root)
+            found = F.when(first[k], value) if found is None else found.when(first[k], value)
+        return found
+
+    return component("x"), component("y"), component("z"), component("w")
+
+
+def velocity(position: Vector, before: Vector, at_ms: Column, before_ms: Column) -> Vector:
+    """Metres a second since the position before, over a millisecond at least; null where there is none before."""
+    seconds = F.greatest(F.lit(1e-3), (at_ms - before_ms) / 1000)
+    return tuple((p - q) / seconds for p, q in zip(position, before))

@@ -94,3 +94,22 @@ def live_zones(log: DataFrame, most: int, key: str = "session_id") -> DataFrame:
     live = added.groupBy(key, "zone_id", "kind").agg(F.min("seq").alias("_seq"))
     place = F.row_number().over(Window.partitionBy(key, "kind").orderBy("_seq", "zone_id"))
     return live.select(key, "zone_id", "kind", place.alias("place")).withColumn("bound", F.col("place") <= most)
+
+
+def entities(active: DataFrame, resident: DataFrame, cached: bool = True) -> DataFrame:
+    """tile_id, entity and ``resident`` of each tile that has an entity: the active one if there is one, else the kept one.
+
+    Both tables have tile_id and entity, each id once; without ``cached`` (a cap of residents is zero) none is kept.
+    """
+    kept = resident.select("tile_id", F.col("entity").alias("_kept"))
+    both = active.select("tile_id", F.col("entity").alias("_active")).join(kept if cached else kept.limit(0), "tile_id", "full")
+    return both.select("tile_id", F.coalesce("_active", "_kept").alias("entity"), F.col("_active").isNull().alias("resident"))
+
+
+def textures(textures_: Column, images: Column, samplers: Column) -> Column:
+    """Each texture of a document with the image and the sampler that it names; null where it names none, or one that isn't there."""
+
+    def at(values: Column, index: Column) -> Column:
+        return F.when(index >= 0, F.get(values, index))
+
+    return F.transform(textures_, lambda t: F.struct(at(images, t["source"]).alias("image"), at(samplers, t["sampler"]).alias("sampler")))

@@ -12,7 +12,7 @@ from ..functions import motion as M
 from ..operators import folds
 from .fixtures import FRAMES, PLACED, duck, table, view
 from .registry import query
-from .spatial_queries import _MOVING, _moving, placed
+from .spatial_queries import _MOVING, _camera_sql, _moving, placed
 
 _ORIGIN = (21.7346, 38.2466)
 _LAM, _PHI = (math.radians(a) for a in _ORIGIN)
@@ -144,3 +144,41 @@ def b21_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero, half = F.lit(0.0), F.col("turn") / 2
     x, y, z = M.place((F.col("value"), F.lit(0.25), F.lit(1.0)), (F.lit(10.0), F.lit(20.0), F.lit(30.0)), (zero, F.sin(half), zero, F.cos(half)), (F.lit(2.0), F.lit(2.0), F.lit(3.0)))
     return f.select("event_id", F.round(x, 5).alias("x"), F.round(y, 5).alias("y"), F.round(z, 5).alias("z"))
+
+
+_TURNS = f"SELECT event_id, event_id % 3 AS axis, (event_id % 311 - 155) / 5e1 AS turn FROM ({FRAMES}) f"
+
+
+@query(f"""SELECT event_id, round(CASE WHEN axis = 0 THEN sin(turn / 2) ELSE 0e0 END, 6) + 0 AS x, round(CASE WHEN axis = 1 THEN sin(turn / 2) ELSE 0e0 END, 6) + 0 AS y, round(CASE WHEN axis = 2 THEN sin(turn / 2) ELSE 0e0 END, 6) + 0 AS z, round(cos(turn / 2), 6) + 0 AS w FROM ({_TURNS}) t""")
+def b6_quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quaternions of turns about each axis, with a positive w."""
+    c, s, axis = F.cos("turn"), F.sin("turn"), F.col("axis")
+
+    def by(x: object, y: object, z: object):  # type: ignore[no-untyped-def]
+        return F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
+
+    m = ((by(1.0, c, c), by(0.0, 0.0, -s), by(0.0, s, 0.0)), (by(0.0, 0.0, s), by(c, 1.0, c), by(-s, 0.0, 0.0)), (by(0.0, -s, 0.0), by(s, 0.0, 0.0), by(c, c, 1.0)))
+    q = M.quaternion(m)
+    sign = F.when(q[3] < 0, -1.0).otherwise(1.0)
+    return view(spark, sf_dir, _TURNS).select("event_id", *[(F.round(v * sign, 6) + 0).alias(n) for n, v in zip("xyzw", q)])
+
+
+@query(f"""WITH f AS (SELECT session_id, frame_no, value AS x, event_id % 90 * 1e0 AS z, epoch_us(ts) // 1000 AS ms FROM ({FRAMES}) q), d AS (SELECT session_id, frame_no, greatest(1e-3, (ms - lag(ms) OVER w) / 1e3) AS s, x - lag(x) OVER w AS dx, z - lag(z) OVER w AS dz FROM f WINDOW w AS (PARTITION BY session_id ORDER BY frame_no))
+SELECT session_id, frame_no, round(sqrt(dx / s * (dx / s) + dz / s * (dz / s)), 9) AS speed FROM d WHERE dx IS NOT NULL""")
+def g18_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speed of cameras that don't tell it, from where they were."""
+    f = view(spark, sf_dir, FRAMES).select("session_id", "frame_no", F.col("value").alias("x"), (F.col("event_id") % 90 * 1.0).alias("z"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    w = Window.partitionBy("session_id").orderBy("frame_no")
+    f = f.withColumns({f"before_{c}": F.lag(c).over(w) for c in ("x", "z", "ms")})
+    v = M.velocity((F.col("x"), F.lit(0.0), F.col("z")), (F.col("before_x"), F.lit(0.0), F.col("before_z")), F.col("ms"), F.col("before_ms"))
+    return f.where("before_x is not null").select("session_id", "frame_no", F.round(G.length(v), 9).alias("speed"))
+
+
+@query(f"SELECT event_id, round(cx, 3) AS x, round(cy, 3) AS y, round(cz, 3) AS z, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT *, {_camera_sql('lon', 'lat', 'alt')} FROM ({FRAMES}) f) q")
+def b15_teleports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a teleport puts the camera, and the place that is read out there."""
+    f = view(spark, sf_dir, FRAMES)
+    x, y, z = G.to_tile(F.col("lon"), F.col("lat"), F.col("alt"))
+    f = f.select("event_id", x.alias("x"), y.alias("y"), z.alias("z"))
+    lon, lat, _ = G.to_geodetic(F.col("x"), F.col("y"), F.col("z"))
+    return f.select("event_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("z", 3).alias("z"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))

@@ -116,3 +116,27 @@ def j15_reset_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = view(spark, sf_dir, _FAILED)
     within = spark.createDataFrame([(2,), (103,), (1007,)], "tile_id long")
     return legacy.reset_failures(t, within, hierarchy.flatten(t)).select("tile_id", "failures", "retry_at", "dead")
+
+
+@query(f"WITH t AS ({duck(TILE_TABLE)}) SELECT tile_id, CASE WHEN tile_id % 3 = 0 THEN 'a' ELSE 'r' END || tile_id AS entity, tile_id % 3 <> 0 AS resident FROM t WHERE tile_id % 3 = 0 OR tile_id % 4 = 0")
+def p14_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of each tile, active before kept."""
+    t = view(spark, sf_dir, TILE_TABLE)
+    return states.entities(t.where("tile_id % 3 = 0").selectExpr("tile_id", "'a' || tile_id AS entity"), t.where("tile_id % 4 = 0").selectExpr("tile_id", "'r' || tile_id AS entity"))
+
+
+@query("""SELECT p_partkey AS doc_id, p_partkey % 4 AS texture, CASE WHEN p_partkey % 3 < 2 THEN 'i' || (p_partkey % 3) END AS image, CASE WHEN p_partkey % 5 = 0 THEN 9728 END AS sampler FROM part""")
+def e11_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Textures with the images and samplers that they name."""
+    k = F.col("p_partkey")
+    one = F.struct(F.when(k % 3 < 2, k % 3).otherwise(9).cast("int").alias("source"), F.when(k % 5 == 0, 0).alias("sampler"))
+    found = states.textures(F.array(one), F.array(F.lit("i0"), F.lit("i1")), F.array(F.lit(9728)))
+    t = F.get(found, F.lit(0))
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), (k % 4).alias("texture"), t["image"].alias("image"), t["sampler"].alias("sampler"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'HTTP ' || (400 + page_id % 100) || ': ' || left(html, 400) END AS error FROM pages")
+def p24_http_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed responses in words: the status and the first 400 characters of the body."""
+    failed = F.concat(F.lit("HTTP "), (400 + F.col("page_id") % 100).cast("string"), F.lit(": "), F.substring("html", 1, 400))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, failed).alias("error"))

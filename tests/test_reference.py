@@ -83,6 +83,21 @@ def test_frame_turns_back():
     assert abs(x * x + y * y + z * z + w * w - 1) < 1e-12
 
 
+def test_quaternions_turn_as_their_matrices(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import motion
+
+    for yaw, pitch, roll in ((0, 0, 0), (30, 20, 10), (170, 80, -60), (-100, 10, 175), (90, 0, 90), (180, 0, 0)):
+        frame = LocalFrame.at(-70.0, 33.0, 5, yaw, pitch, roll)
+        rows = tuple(zip(*frame.to_tile))
+        x, y, z, w = spark.range(1).select(*motion.quaternion(tuple(tuple(F.lit(c) for c in row) for row in rows))).first()
+        assert all(abs(p - q) < 1e-9 for p, q in zip((x, y, z, w), frame.quaternion()))
+        back = ((1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)), (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)))
+        assert all(abs(p - q) < 1e-9 for r, t in zip(back, rows) for p, q in zip(r, t))
+        assert w > 0.5 or rows[0][0] + rows[1][1] + rows[2][2] <= 0
+
+
 def test_entry_works(spark):
     import __spark_entry__ as entry
 
