@@ -56,8 +56,8 @@ def frame_bias(ratio: Column) -> tuple:
 def averages(df: DataFrame, keys: list[str], order: list[str], block: Column, found: dict[str, Average]) -> DataFrame:
     """One row for each key with all averages after its last row.  Null values move nothing; a key without values has its starts.
 
-    ``block`` never falls along the order and cuts a long key into pieces, such as its days: the rows of a block are joined in one task,
-    by as many tasks as there are blocks, and a key's blocks, a few numbers each, in another.
+    ``block`` never falls along the order and cuts a long key into pieces, such as minutes of its time: the rows of a block meet in one
+    task as an array, so a block must be short enough for that, and a key's blocks, five numbers each for an average, meet in another.
     """
     values = [a.value.cast("double").alias(n) for n, a in found.items()]
     rows = df.select(*keys, block.alias("_block"), F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], *values).alias("_row"))
