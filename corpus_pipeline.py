@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, langid, packing, simhash, suffix_dedup
+from tessera.llm import common, exact_dedup, langid, packing, similar, simhash, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +31,17 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of smallest id."""
+    """One document of each SimHash component: the one of smallest id.  Not a stage: at four bits most near copies stay."""
     found = simhash.near_duplicates(docs)
     return _kept(docs, found.where("doc_id = component_id").select("doc_id").distinct())
 
 
+def similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, five-word shingles of Jaccard similarity 0.8 or more: that of smallest id."""
+    found = similar.similar_documents(docs)
+    return _kept(docs, found.where("doc_id = component_id").select("doc_id").distinct())
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 100 bytes or more that occur earlier.  Bytes of characters cut in two go as well."""
     found = suffix_dedup.remove_repeats(docs).dropDuplicates(["doc_id"])
@@ -54,7 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", language),
     ("exact_copies", exact_copies),
-    ("near_copies", near_copies),
+    ("near_copies", similar_copies),
     ("repeated_passages", repeated_passages),
     ("packing", packed),
 ]

@@ -1,0 +1,174 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two sets of similarity 0.8 or more share at least four fifths of the larger one.  So, with the shingles of each set in one
+order for all, the first fifth of either (and one more) holds their first common shingle: sets are indexed under these
+shingles only, and no pair is missed.  Shingles that a sample shows to be frequent come last in the order, which bears on the
+work and not on the result.  Candidates are verified by all their shingles.
+
+Each key first offers its least set with all others, and neighbours by size; once those are verified, it offers what pairs of
+different components are left.  So a large group of near copies costs about as many pairs as it has members for each key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import bound_batches, spool
+from .components import components
+
+#: Words of a shingle.
+WIDTH = 5
+#: Documents whose shingles are counted for the order, and the number of frequent ones that the order knows.
+SAMPLE, KNOWN = 20_000, 100_000
+_SET = "doc_id long, id long, n int, first array<long>, text string"
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text; a shorter text is one shingle."""
+    words = text.lower().split()  # on bytes: A-Z, and the six white-space bytes
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined)], np.uint64)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
+    return np.unique(np.array([digest(joined[a + 1 : b]) for a, b in zip(ends, ends[width:])], np.uint64))
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [shingles(t or b"") for t in b.column(0).cast(pa.binary()).to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that several documents of a sample have."""
+    of = max(1, docs.count() // SAMPLE)
+    counts = docs.where(F.pmod(F.xxhash64("text"), F.lit(of)) == 0).select("text").mapInArrow(_hashes, "h long").groupBy("h").count()
+    rows = counts.where("count >= 3").orderBy(F.desc("count"), "h").limit(KNOWN).collect()
+    known = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def _sets(known: np.ndarray, counts: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, firsts = [], [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                h = shingles(t or b"")
+                n = len(h)
+                ids.append(xxhash.xxh64_intdigest(h.tobytes()))
+                sizes.append(n)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+                firsts.append(h[: n - (4 * n + 4) // 5 + 1].view(np.int64))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, firsts)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *firsts]))
+            made = [b.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, b.column(1)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "id", "n", "first", "text"])
+
+    return run
+
+
+def candidates(key: np.ndarray, at: np.ndarray, n: np.ndarray, label: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of equal key (rows of a key stand together, by n) and different label that may reach 0.8.
+
+    A pair's first common shingle leaves room for enough others; so a pair that reaches 0.8 is given at that key at least.
+    Not ``every``: only with the first of the key and with the next of it.
+    """
+    rows = len(key)
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if rows else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(rows), 0))
+
+    def may(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        room = np.minimum(n[a] - at[a], n[b] - at[b])
+        good = (label[a] != label[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * room >= 4 * (n[a] + n[b]))
+        return a[good], b[good]
+
+    b = np.flatnonzero(~new)
+    found = [may(start[b], b), may(b - 1, b)] if not every else []
+    step = 1
+    while every and len(b):
+        found.append(may(b - step, b))
+        step += 1
+        b = b[b - step >= start[b]]
+        b = b[5 * n[b - step] >= 4 * n[b]]  # earlier rows of the key are smaller still
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *(a for a, _ in found)]), np.concatenate([empty, *(b for _, b in found)])
+
+
+def _offered(every: bool):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = candidates(x[0], x[2].astype(np.int64), x[3].astype(np.int64), x[4], every)
+            u, v = np.minimum(x[1][a], x[1][b]), np.maximum(x[1][a], x[1][b])
+            for k in range(0, len(u), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], ["u", "v"])
+
+        for b in batches:
+            now = [b.column(k).to_numpy() for k in range(5)]
+            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+            if len(held[0]) and held[0][0] != held[0][-1]:
+                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
+                yield from out([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from out(held)
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets: dict[int, np.ndarray] = {}
+        good = []
+        for u, v, s, t in zip(*(c.cast(pa.binary()).to_pylist() if k > 1 else c.to_pylist() for k, c in enumerate(b.columns))):
+            x, y = (sets[i] if i in sets else sets.setdefault(i, shingles(w or b"")) for i, w in ((u, s), (v, t)))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(5 * both >= 4 * (len(x) + len(y) - both))
+        mask = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns doc_id and component_id (smallest id reachable over pairs of Jaccard similarity 0.8 or more) for every row.
+
+    Shingles are of five words without case of A to Z.  Null texts count as empty, and empty texts as equal.  Repeated rows
+    are kept; rows with null ids get their component's id, null if no row of it has one.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spool(docs.mapInArrow(_sets(*_frequent(docs)), _SET))
+    one = rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"))
+    index = one.select("id", "n", F.posexplode("first").alias("at", "key")).select("key", "id", "at", "n")
+    w = Window.partitionBy("key")
+    shared = spool(index.withColumn("c", F.count(F.lit(1)).over(w)).where("c > 1").drop("c"))
+
+    def links(labelled: DataFrame, every: bool) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+        ordered = labelled.select("key", "id", "at", "n", "label").repartition("key").sortWithinPartitions("key", "n", "id")
+        pairs = spool(ordered.mapInArrow(_offered(every), "u long, v long").distinct())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # texts may be long
+        needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        texts = spool(rows.select("id", "text").join(needed, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("s")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("t")), "v")
+        return spool(both.select("u", "v", "s", "t").mapInArrow(_verified, "u long, v long"))
+
+    some = links(shared.withColumn("label", F.col("id")), False)
+    roots = spool(components(some))
+    rest = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
+    roots = components(some.union(links(rest, True)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
