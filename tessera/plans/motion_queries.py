@@ -12,7 +12,7 @@ from ..functions import motion as M
 from ..operators import folds
 from .fixtures import FRAMES, PLACED, duck, table, view
 from .registry import query
-from .spatial_queries import _MOVING, _camera_sql, _moving, placed
+from .spatial_queries import _MOVING, _SESSION_FRAMES, _camera_sql, _moving, _session_frames, placed
 
 _ORIGIN = (21.7346, 38.2466)
 _LAM, _PHI = (math.radians(a) for a in _ORIGIN)
@@ -102,17 +102,30 @@ def c19_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IDLE.run(view(spark, sf_dir, _CREEP), "session_id", ["frame_no"])
 
 
-@query(f"""WITH r AS (SELECT k.event_id, k.tile_id, df / greatest(d, 1e-6) AS ahead, dv / (greatest(d, 1e-6) * greatest(s, 1e-6)) AS travel FROM k)
-SELECT event_id, tile_id, round(CASE WHEN tile_id % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN tile_id % 5 = 0 THEN 6 ELSE 0 END + 2 * ahead + 2.5 * travel - CASE WHEN ahead < -0.2 THEN 3 ELSE 0 END, 6) AS score FROM r""".replace("WITH r", f"WITH {_MOVING}, r"))
-def d4_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which loaded tiles moving cameras want prepared first."""
-    rows = _moving(spark, sf_dir).withColumns({f"d{k}": F.col(k) - F.col(f"c{k}") for k in "xyz"})
+_PREPARATION = """WITH r AS (SELECT k.event_id, k.tile_id, df / greatest(d, 1e-6) AS ahead, dv / (greatest(d, 1e-6) * greatest(s, 1e-6)) AS travel FROM k)
+SELECT event_id, tile_id, round(CASE WHEN tile_id % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN tile_id % 5 = 0 THEN 6 ELSE 0 END + 2 * ahead + 2.5 * travel - CASE WHEN ahead < -0.2 THEN 3 ELSE 0 END, 6) AS score FROM r"""
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({f"d{k}": F.col(k) - F.col(f"c{k}") for k in "xyz"})
     to, vel, cam = (tuple(F.col(n) for n in names) for names in (("dx", "dy", "dz"), ("vx", "vy", "vz"), ("cx", "cy", "cz")))
     forward = tuple(-c / G.length(cam) for c in cam)
     score = M.preparation_score(to, vel, forward, F.col("tile_id") % 3 == 0, F.col("tile_id") % 5 == 0)
     return rows.select("event_id", "tile_id", F.round(score, 6).alias("score"))
 
 
+@query(_PREPARATION.replace("WITH r", f"WITH {_MOVING}, r"))
+def d4_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 on a sample, every tenth frame and the nations' tiles: see d4_session_preparation for all."""
+    return _prepared(_moving(spark, sf_dir))
+
+
+@query(_PREPARATION.replace("WITH r", f"WITH {_SESSION_FRAMES}, r"))
+def d4_session_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which loaded tiles moving cameras want prepared first, all frames and all tiles that their sessions hold."""
+    return _prepared(_session_frames(spark, sf_dir))
+
+
 @query("""WITH t AS (SELECT l_partkey AS mesh_id, sum(w * h * CASE WHEN mips THEN 16 ELSE 12 END) AS thirds FROM (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS w, l_linenumber * 16 AS h, l_orderkey % 4 > 0 AS mips FROM lineitem) GROUP BY l_partkey),
 b AS (SELECT l_partkey AS mesh_id, sum(n) AS n_bytes FROM (SELECT l_partkey, l_suppkey, max(CAST(l_suppkey * 12 AS BIGINT)) AS n FROM lineitem GROUP BY ALL) GROUP BY l_partkey)
 SELECT mesh_id, CAST((thirds + 2) // 3 + n_bytes AS BIGINT) AS gpu_bytes FROM t JOIN b USING (mesh_id)""")

@@ -86,17 +86,34 @@ def c1_view_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tile_id", F.round(error, 4).alias("sse"), ahead.alias("in_view"), T.refines(F.col("ge"), F.col("dist"), FOV, HEIGHT).alias("refine"), T.usable_ancestor(F.col("ge"), F.col("dist"), FOV, HEIGHT).alias("usable"), T.preloads(error).alias("preload"), T.in_cone(v, c, 0.2).alias("in_cone"))
 
 
-def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations' tiles against every tenth frame: vectors to the tile, velocity and forward."""
+def _flown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames, with the camera's position and velocity on tile axes."""
     f = view(spark, sf_dir, FRAMES)
     c = G.to_tile(F.col("lon"), F.col("lat"), F.col("alt"))
     w = Window.partitionBy("session_id").orderBy("frame_no")
     f = f.withColumns({"cx": c[0], "cy": c[1], "cz": c[2]})
-    f = f.withColumns({f"v{k}": F.coalesce((F.col(f"c{k}") - F.lag(f"c{k}").over(w)) / 1e5, F.lit(0.0)) for k in "xyz"}).where("event_id % 10 = 0")
+    return f.withColumns({f"v{k}": F.coalesce((F.col(f"c{k}") - F.lag(f"c{k}").over(w)) / 1e5, F.lit(0.0)) for k in "xyz"})
+
+
+def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' tiles against every tenth frame, a small sample: vectors to the tile, velocity and forward."""
+    f = _flown(spark, sf_dir).where("event_id % 10 = 0")
     t = placed(spark, sf_dir, 2).where("depth = 2").select("tile_id", "x", "y", "z", "ge")
     return f.crossJoin(F.broadcast(t))  # the 25 tiles of the second level
 
 
+def _session_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame against all tiles that its session holds: the 31 of the upper three levels, and the customer of the session's
+    number (of as many as there are customers) with its orders."""
+    f, t = _flown(spark, sf_dir), placed(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("customers"))
+    f = f.crossJoin(F.broadcast(customers)).withColumn("owner", 1000 + F.col("session_id") % F.col("customers")).drop("customers")
+    columns = ("tile_id", "x", "y", "z", "ge")
+    upper = f.crossJoin(F.broadcast(t.where("depth <= 2").select(*columns)))
+    own = t.where("depth > 2").select(*columns, F.when(F.col("depth") == 3, F.col("tile_id")).otherwise(F.col("parent_id")).alias("owner"))
+    return upper.unionByName(f.join(own, "owner"))
+
+
 _MOVING = f"""
 f AS (SELECT q.*, {_camera_sql("lon", "lat", "alt")} FROM ({FRAMES}) q),
 v AS (SELECT *, coalesce((cx - lag(cx) OVER w) / 1e5, 0) AS vx, coalesce((cy - lag(cy) OVER w) / 1e5, 0) AS vy, coalesce((cz - lag(cz) OVER w) / 1e5, 0) AS vz FROM f WINDOW w AS (PARTITION BY session_id ORDER BY frame_no)),
@@ -108,12 +125,17 @@ k AS (SELECT *, s >= 2 AND dv / (greatest(d, 1e-6) * greatest(s, 1e-6)) >= 0.25
   ge * 1000e0 / (greatest(d, 1e-7) * 2 * tan({FOV!r} / 2)) AS sse, CASE WHEN s * s > 1 THEN dv / (greatest(d, 1e-6) * s) ELSE 0 END AS motion, df / greatest(d, 1e-6) AS cosine FROM a)"""
 
 
-@query(f"""WITH {_MOVING}
+#: The same of all frames and the tiles that their sessions hold, by an equality join; -1 owns the upper levels.
+_SESSION_FRAMES = _MOVING.replace(
+    f"FROM v, ({_P}) p WHERE event_id % 10 = 0 AND depth = 2",
+    f"FROM (SELECT *, unnest([-1, 1000 + session_id % customers]) AS owner FROM v, (SELECT count(*) AS customers FROM customer) c) v JOIN (SELECT *, CASE depth WHEN 3 THEN tile_id WHEN 4 THEN parent_id ELSE -1 END AS owner FROM ({_P}) p) p ON v.owner = p.owner",
+)
+_PRIORITIES = """
 SELECT event_id, tile_id, predicted, behind, CASE WHEN predicted THEN 1.75e0 WHEN behind THEN 8e0 ELSE 4e0 END AS factor, CASE WHEN predicted THEN 'predicted' ELSE 'coverage' END AS request_class, CASE WHEN predicted THEN 2 ELSE 1 END AS class_rank,
-  round(1 / (1 + ln(greatest(sse / 16, 1e0))) + 0.7 * greatest(0e0, cosine) + 0.3 / (1 + d * 1e-4) + 0.5 * motion - CASE WHEN cosine < 0 AND motion < 0 THEN 0.75 ELSE 0 END + CASE WHEN predicted THEN 2 ELSE 0 END, 6) AS priority FROM k""")
-def d2_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction, behind the camera, request classes and priorities of moving cameras."""
-    rows = _moving(spark, sf_dir)
+  round(1 / (1 + ln(greatest(sse / 16, 1e0))) + 0.7 * greatest(0e0, cosine) + 0.3 / (1 + d * 1e-4) + 0.5 * motion - CASE WHEN cosine < 0 AND motion < 0 THEN 0.75 ELSE 0 END + CASE WHEN predicted THEN 2 ELSE 0 END, 6) AS priority FROM k"""
+
+
+def _priorities(rows: DataFrame) -> DataFrame:
     to, vel, cam = (tuple(F.col(n) for n in names) for names in (("dx", "dy", "dz"), ("vx", "vy", "vz"), ("cx", "cy", "cz")))
     rows = rows.withColumns({f"d{k}": F.col(k) - F.col(f"c{k}") for k in "xyz"})
     forward = tuple(-c / G.length(cam) for c in cam)
@@ -124,6 +146,18 @@ def d2_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "tile_id", "predicted", "behind", "factor", "request_class", T.class_rank(F.col("request_class")).alias("class_rank"), F.round(F.col("p") + T.class_bonus(F.col("request_class")), 6).alias("priority"))
 
 
+@query(f"WITH {_MOVING}{_PRIORITIES}")
+def d2_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4, C5, D2, D3, D5, D10, D12 on a sample, every tenth frame and the nations' tiles: see d2_session_priorities for all."""
+    return _priorities(_moving(spark, sf_dir))
+
+
+@query(f"WITH {_SESSION_FRAMES}{_PRIORITIES}")
+def d2_session_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction, behind the camera, request classes and priorities of moving cameras, all frames."""
+    return _priorities(_session_frames(spark, sf_dir))
+
+
 #: Regions in order: ring of (lon, lat) and what is done with tiles inside.
 REGIONS = (
     ("pin", ((21.70, 38.20), (21.78, 38.21), (21.79, 38.27), (21.74, 38.30), (21.69, 38.26))),
