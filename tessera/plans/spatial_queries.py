@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
@@ -303,7 +303,7 @@ _CELLS = "(SELECT CAST(p_partkey AS DOUBLE) AS k, CAST(p_partkey % 40 AS DOUBLE)
 h AS (SELECT event_id, gy AS height, mesh_id, 0.0e0 + 1 AS volume FROM p JOIN m ON px >= gx AND px <= gx + 1 AND pz >= gz AND pz <= gz + 1)
 SELECT event_id, first(height ORDER BY volume, mesh_id) AS height, first(mesh_id ORDER BY volume, mesh_id) AS mesh_id FROM h GROUP BY event_id""")
 def e9_ground_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rays from above against triangles, by grid cell and box, nearest hit, finest mesh."""
+    """Rays from above against triangles of meshes one cell wide; see e9_lod_samples for meshes of several sizes."""
     k = F.col("p_partkey")
     m = table(spark, sf_dir, "part").select(k.cast("long").alias("mesh_id"), (k % 40).cast("double").alias("gx"), F.floor(k / 40).cast("double").alias("gz"), F.col("p_size").cast("double").alias("gy"))
     points = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400 / 10.0 + 0.05).alias("px"), (F.col("event_id") % 370 / 10.0 + 0.02).alias("pz"))
@@ -315,3 +315,51 @@ def e9_ground_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.least(T.ray_triangle(origin, down, (x0, y, z0), (x1, y, z0), (x0, y, z1)), T.ray_triangle(origin, down, (x1, y, z1), (x1, y, z0), (x0, y, z1)))
     hits = near.withColumn("t", t).where("t is not null").groupBy("event_id", "mesh_id").agg(F.min("t").alias("t"))
     return hits.groupBy("event_id").agg(F.min_by(F.struct((2000.0 - F.col("t")).alias("height"), "mesh_id"), F.struct(F.lit(1.0), F.col("mesh_id"))).alias("b")).select("event_id", "b.height", "b.mesh_id")
+
+
+#: Largest product of half-extents of a mesh whose hits count.
+MOST_VOLUME = 1e9
+
+
+def finest_hits(points: DataFrame, meshes: DataFrame) -> DataFrame:
+    """Columns event_id, height, mesh_id, volume: of the meshes under each point (px, pz) the one of least box.
+
+    Meshes: mesh_id, their box x0 to z1, and y, where two triangles span the box.  A mesh goes to all cells that its box touches,
+    on the grid whose cells are at least as wide; so it takes four cells at most, and a point looks in one cell of each grid.
+    """
+    volume = (F.col("x1") - F.col("x0")) / 2 * ((F.col("y1") - F.col("y0")) / 2) * ((F.col("z1") - F.col("z0")) / 2)
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0"), F.lit(1.0))
+    m = meshes.withColumn("volume", volume).where(F.col("volume") <= MOST_VOLUME).withColumn("cell", F.pow(F.lit(2.0), F.ceil(F.log2(wide))))
+
+    def covered(axis: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(f"{axis}0") / F.col("cell")), F.floor(F.col(f"{axis}1") / F.col("cell"))))
+
+    placed_ = m.withColumn("gx", covered("x")).withColumn("gz", covered("z"))
+    probes = points.crossJoin(F.broadcast(m.select("cell").distinct())).withColumns({"gx": F.floor(F.col("px") / F.col("cell")), "gz": F.floor(F.col("pz") / F.col("cell"))})
+    near = probes.join(placed_, ["cell", "gx", "gz"]).where("px between x0 and x1 and pz between z0 and z1")
+    x0, x1, z0, z1, y = (F.col(n) for n in ("x0", "x1", "z0", "z1", "y"))
+    origin, down = (F.col("px"), F.lit(2000.0), F.col("pz")), (F.lit(0.0), F.lit(-1.0), F.lit(0.0))
+    t = F.least(T.ray_triangle(origin, down, (x0, y, z0), (x1, y, z0), (x0, y, z1)), T.ray_triangle(origin, down, (x1, y, z1), (x1, y, z0), (x0, y, z1)))
+    hits = near.withColumn("t", t).where("t is not null")
+    best = F.min_by(F.struct((2000.0 - F.col("t")).alias("height"), "mesh_id", "volume"), F.struct("volume", "mesh_id")).alias("b")
+    return hits.groupBy("event_id").agg(best).select("event_id", "b.height", "b.mesh_id", "b.volume")
+
+
+_COARSE = 1_000_000_000
+
+
+@query(f"""WITH c AS (SELECT * FROM {_CELLS}), m AS (SELECT mesh_id, gx AS x0, gx + 1 AS x1, gy - 0.5 AS y0, gy + 0.5 AS y1, gz AS z0, gz + 1 AS z1, gy AS y FROM c
+UNION ALL SELECT CAST({_COARSE} + floor(gz / 4) * 10 + floor(gx / 4) AS BIGINT), floor(gx / 4) * 4, floor(gx / 4) * 4 + 4, min(gy) - 0.5, max(gy) + 0.5, floor(gz / 4) * 4, floor(gz / 4) * 4 + 4, min(gy) FROM c GROUP BY floor(gx / 4), floor(gz / 4)),
+p AS (SELECT event_id, event_id % 400 / 10e0 + 0.05 AS px, event_id % 370 / 10e0 + 0.02 AS pz FROM events),
+h AS (SELECT event_id, y AS height, mesh_id, (x1 - x0) / 2 * ((y1 - y0) / 2) * ((z1 - z0) / 2) AS volume FROM p JOIN m ON px >= x0 AND px <= x1 AND pz >= z0 AND pz <= z1)
+SELECT event_id, first(height ORDER BY volume, mesh_id) AS height, first(mesh_id ORDER BY volume, mesh_id) AS mesh_id, min(volume) AS volume FROM h WHERE volume <= 1e9 GROUP BY event_id""")
+def e9_lod_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays from above against cells and their coarse copies of 4 by 4 cells; of the hits the one of least box."""
+    k = F.col("p_partkey")
+    c = table(spark, sf_dir, "part").select(k.cast("long").alias("mesh_id"), (k % 40).cast("double").alias("gx"), F.floor(k / 40).cast("double").alias("gz"), F.col("p_size").cast("double").alias("gy"))
+    fine = c.select("mesh_id", F.col("gx").alias("x0"), (F.col("gx") + 1).alias("x1"), (F.col("gy") - 0.5).alias("y0"), (F.col("gy") + 0.5).alias("y1"), F.col("gz").alias("z0"), (F.col("gz") + 1).alias("z1"), F.col("gy").alias("y"))
+    blocks = c.groupBy(F.floor(F.col("gx") / 4).alias("bx"), F.floor(F.col("gz") / 4).alias("bz")).agg(F.min("gy").alias("low"), F.max("gy").alias("high"))
+    x, z = (F.col(b).cast("double") * 4 for b in ("bx", "bz"))
+    coarse = blocks.select((F.col("bz") * 10 + F.col("bx") + _COARSE).alias("mesh_id"), x.alias("x0"), (x + 4).alias("x1"), (F.col("low") - 0.5).alias("y0"), (F.col("high") + 0.5).alias("y1"), z.alias("z0"), (z + 4).alias("z1"), F.col("low").alias("y"))
+    points = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400 / 10.0 + 0.05).alias("px"), (F.col("event_id") % 370 / 10.0 + 0.02).alias("pz"))
+    return finest_hits(points, fine.unionByName(coarse))
