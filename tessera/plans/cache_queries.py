@@ -29,7 +29,7 @@ def k2_newest_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SPAN} SELECT cache_id, count(*) FILTER (WHERE prev IS NOT NULL AND size + between_ <= 512) AS hits, count(*) FILTER (WHERE NOT coalesce(size + between_ <= 512 AND prev IS NOT NULL, false)) AS misses, round(count(*) FILTER (WHERE prev IS NOT NULL AND size + between_ <= 512) / count(*)::DOUBLE, 6) AS hit_rate FROM s GROUP BY cache_id")
 def f7_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits, misses and their rate."""
+    """Hits, misses and their rate."""
     hits = cache.lru_hits(view(spark, sf_dir, ACCESSES), 512)
     return hits.groupBy("cache_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.count_if("hit") / F.count(F.lit(1)), 6).alias("hit_rate"))
 

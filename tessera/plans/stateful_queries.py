@@ -34,7 +34,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(lifecycle.LIFE.duck(_LOG.format(ms="epoch_us(ts) // 1000", source="events"), "node_id", "at_ms, seq"))
 def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same states kept by a stream, and the last of each node."""
+    """K1: the same states kept by a stream, and the last of each node."""
     stream = lifecycle.follow(_log(_stream(spark, sf_dir)))
     return telemetry.latest(telemetry.drain(stream, "update", scratch(spark, "stream")), ["node_id"])
 
