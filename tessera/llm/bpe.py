@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import slices
 
 # Classes: letter, number, other, apostrophe before a contraction of one or of two letters, space that joins what follows,
 # other white space before something else, white space before white space or the end, end of a text.
@@ -85,12 +85,11 @@ def classify(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     blank = kind[:-1] == _SPACE
     last = np.flatnonzero(blank & solid)
     kind[last] = np.where(points[last] == 32, _JOIN, _LONE)
-    for i in np.flatnonzero(points == 39):
-        a = points[i + 1] if i + 1 < len(points) else 0
-        if a in (115, 116, 109, 100):  # s t m d
-            kind[i] = _Q1
-        elif i + 2 < len(points) and (int(a), int(points[i + 2])) in ((114, 101), (118, 101), (108, 108)):  # re ve ll
-            kind[i] = _Q2
+    at = np.flatnonzero(points == 39)
+    padded = np.append(points, np.zeros(2, points.dtype))
+    one, two = padded[at + 1], padded[at + 2]
+    kind[at[np.isin(one, [ord(c) for c in "stmd"])]] = _Q1
+    kind[at[np.isin(one.astype(np.int64) << 21 | two, [ord(a) << 21 | ord(b) for a, b in ("re", "ve", "ll")])]] = _Q2
     return kind
 
 
@@ -321,11 +320,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     A null text counts as empty: no ids, and the digests of nothing.  Repeated rows and null ids are kept; an empty table
     gives an empty result; other columns are ignored.  ``ranks_path`` must name a file on every executor.
     """
-    bound_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for data, offsets, ids, said in encoded(own, [t or "" for t in b.column(1).to_pylist()]):
                 decoded = own.decode(ids)

@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once.  Texts may be long, so batches are short.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python stage works on at once.  Spark's own Arrow batches are bounded by bytes; these are smaller.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+#: Rows of a bucket that ``gapless`` numbers in one go.
+BUCKET_ROWS = 250
+#: Keys that a hot join may broadcast: those with at least 1 / HOT_KEYS of all rows.
+HOT_KEYS = 1000
 #: The white space that text contracts name: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -56,41 +60,52 @@ def _discard() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps Arrow batches short for the Python stages that follow."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, and of more than ``size`` bytes only where a single row has them."""
+    for b in batches:
+        each = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, max(1, b.num_rows), each):
+            part = b.slice(at, each)
+            if part.num_rows > 1 and part.nbytes > 4 * size:  # a few long rows among short ones
+                yield from slices(iter([part]), part.num_rows // 2, size)
+            else:
+                yield part
 
 
-def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int, rows: int) -> DataFrame:
+def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int) -> DataFrame:
     """Adds ``out``: 0, 1, 2 ... within each value of ``keys`` (not null), each number once.
 
-    Rows of a key are dealt by a hash of ``order`` into buckets of about ``rows_per_bucket``, numbered inside the bucket
-    and moved on by the rows of the buckets before, so no task holds a whole key.  ``df`` is read twice.
+    ``rows`` is the count of the largest key.  Rows of a key are dealt by a hash of ``order``, which should tell them apart,
+    into buckets of about BUCKET_ROWS, numbered inside the bucket and moved on by the rows of the buckets before, so no
+    task holds a whole key.  ``df`` is read twice and must give the same rows both times.
     """
-    buckets = max(1, -(-rows // rows_per_bucket))
+    buckets = max(1, -(-rows // BUCKET_ROWS))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    # The buckets of a key are summed in two steps, so that a key with very many of them stays split as well.
+    counts = counts.withColumn("_block", F.floor(F.col("_bucket") / 4096))
+    blocks = counts.groupBy(*keys, "_block").agg(F.sum("_rows").alias("_all"))
+    upto = Window.orderBy("_block").partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_all").over(upto), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*keys, "_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(blocks, [*keys, "_block"])
+    offsets = offsets.select(*keys, "_bucket", (F.col("_offset") + F.col("_start")).alias("_offset"))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
     return ranked.join(offsets, [*keys, "_bucket"]).withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_offset")
 
 
-def utf8_bytes(text: Column) -> Column:
-    """Bytes of a text; none for null."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and its number of rows as ``count``.
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    Keys with at least 1 / HOT_KEYS of the ``total`` rows, so at most HOT_KEYS of them, are broadcast; their rows need no
+    shuffle.  The others meet by a shuffle in which no key is large.  Both tables are read twice.
+    """
+    hot = F.col(count) * HOT_KEYS >= max(1, total)
+    few = table.where(hot)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)
 
 
-def whole_characters(df: DataFrame) -> DataFrame:
-    """Columns doc_id (long) and text of a table of doc_id and bytes; bytes that make no character are left out."""
-    bound_batches(df.sparkSession)
-    return df.select("doc_id", df.columns[1]).mapInArrow(_decode, "doc_id long, text string")
+def utf8_bytes(text: Column) -> Column:
+    """Bytes of a text; none for null."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -1,10 +1,13 @@
 """Exact duplicates through an extendible-hash index on shared files, in DataFrame operations only.
 
-The directory of an extendible hash doubles until no bucket is overfull: it has ``2 ** depth`` slots, told apart by the top
-bits of a 64-bit hash of the text, and slots that needn't be told apart share a bucket.  Bucket by bucket, owner tasks hold
-key ranges: rows of one hash form a chain, in which texts are told apart by their bytes, and each chain entry keeps its best
-row and its number of rows.  Copies are merged before the shuffle, so a text with a third of all rows reaches its owner as one
-row for each task.  The index is written by bucket to the shared folder, and the rows are looked up in it.
+A text's key is a 64-bit hash.  The directory has ``2 ** depth`` slots, told apart by the top bits of the key; while a bucket
+holds too many distinct keys, it is split by its next bit, and the directory doubles when no slot is left to tell the halves
+apart.  Slots that needn't be told apart share a bucket, so a bucket owns a range of keys.
+
+Every row first finds its bucket in the directory.  The texts of a bucket are chained by key, told apart inside a chain by
+their bytes, and each chain entry keeps its best row and its number of rows; copies are merged before the shuffle, so a text
+with a third of all rows reaches its owner as one row for each task.  The entries are written, by bucket, to the shared
+folder.  Rows are looked up there by bucket, key and digest; entries of very many rows are looked up by broadcast instead.
 """
 
 from __future__ import annotations
@@ -13,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, spool
+from .common import SPACES, hot_join, spool
 
-#: Rows of a bucket beyond which it is split.
+#: Distinct keys of a bucket beyond which it is split.
 CAPACITY = 100_000
-#: The directory has at most 2 ** MOST_DEPTH slots, which bounds what the driver holds.
-MOST_DEPTH = 12
+#: Slots of the directory, and so of the broadcast: 2 ** 20 at most.  A corpus whose buckets would need more slots has
+#: larger buckets instead, each still a range of keys.
+MOST_DEPTH = 20
+KEY_BITS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -26,38 +31,46 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY, most_depth: int = MOST_DEPTH) -> list[int]:
-    """The bucket of each slot, for the rows of each prefix of ``most_depth`` bits.
+def split(counts: dict[int, int], depth: int, capacity: int = CAPACITY) -> list[int]:
+    """The bucket of each slot of a directory of at most ``2 ** depth`` slots, given the keys of each prefix of that many bits.
 
-    Starts with one bucket; while a bucket is overfull and not yet told apart by all bits, it is split by its next bit, and
-    the directory doubles when no slot is left to tell the halves apart.
+    Starts with one slot and bucket; an overfull bucket is split by its next bit until all bits of the prefix are used.
     """
-    slots, depth, local, rows = [0], 0, [0], [sum(counts.values())]
-    by_prefix = [0] * ((1 << most_depth) + 1)
-    for k in range(1 << most_depth):
-        by_prefix[k + 1] = by_prefix[k] + counts.get(k, 0)
-    full = [0] if rows[0] > capacity else []
+    width = 1 << depth
+    before = [0] * (width + 1)
+    for k in range(width):
+        before[k + 1] = before[k] + counts.get(k, 0)
+    cuts, deepest, full = [], 0, [(0, 0)]  # a bucket: its first bits, and how many
     while full:
-        b = full.pop()
-        if local[b] == most_depth:
-            continue
-        if local[b] == depth:
-            slots, depth = [s for s in slots for _ in (0, 1)], depth + 1
-        own = [k for k, s in enumerate(slots) if s == b]
-        local[b] += 1
-        local.append(local[b])
-        new = len(local) - 1
-        for k in own[len(own) // 2 :]:
-            slots[k] = new
-        wide = most_depth - depth
-        rows.append(sum(by_prefix[(k + 1) << wide] - by_prefix[k << wide] for k in own[len(own) // 2 :]))
-        rows[b] -= rows[new]
-        full += [x for x in (b, new) if rows[x] > capacity]
+        bits, local = full.pop()
+        first, last = bits << depth - local, bits + 1 << depth - local
+        if before[last] - before[first] > capacity and local < depth:
+            full += [(2 * bits + 1, local + 1), (2 * bits, local + 1)]
+        else:
+            cuts.append((bits, local))
+            deepest = max(deepest, local)
+    slots: list[int] = []
+    for number, (_, local) in enumerate(cuts):  # buckets come in the order of their keys
+        slots += [number] * (1 << deepest - local)
     return slots
 
 
-def _slot(h: str, depth: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+def slot(key: str, depth: int) -> Column:
+    """The first ``depth`` bits of a key."""
+    return F.shiftrightunsigned(key, KEY_BITS - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> list[int]:
+    """The bucket of each slot for a table of distinct keys (column h).  Prefixes are counted four bits longer each time,
+    until none is overfull or the directory may not grow."""
+    total, depth = keys.count(), 0
+    while (total >> depth) > capacity and depth < MOST_DEPTH:
+        depth += 1
+    while True:
+        depth = min(depth + 4, MOST_DEPTH)
+        counts = {r["p"]: r["n"] for r in keys.groupBy(slot("h", depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 ** MOST_DEPTH
+        if depth == MOST_DEPTH or max(counts.values(), default=0) <= capacity:
+            return split(counts, depth, capacity)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -65,22 +78,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Equal are texts whose characters besides white space are; null counts as empty.  Of equal texts the row with the most
     code points stays, then the one with the smallest id; null ids come after all others, and keep_id is null only where all
-    are.  Repeated rows count each; where the staying row itself is repeated, every such row is marked as kept.
-    An empty table gives an empty result.  Other columns are ignored.
+    are.  Repeated rows count each; where the staying row itself is repeated, every such row is marked as kept.  Ids may be of
+    any type that has an order.  An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("points"), normalised(F.col(text_col)).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    narrow = spool(rows.select("doc_id", "points", "h", F.unhex(F.sha2("norm", 256)).alias("sha")))
-    prefixes = narrow.groupBy(_slot("h", MOST_DEPTH).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** MOST_DEPTH
-    slots = directory({r["p"]: r["n"] for r in prefixes}, capacity)
-    depth = len(slots).bit_length() - 1
+    points, text = F.coalesce(F.length(text_col), F.lit(0)), normalised(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), points.alias("points"), text.alias("norm"))
+    rows = spool(rows.withColumn("h", F.xxhash64("norm")).withColumn("sha", F.unhex(F.sha2("norm", 256))))
+    slots = directory(spool(rows.select("h").distinct()), capacity)
     table = spark.createDataFrame(list(enumerate(slots)), T.StructType().add("slot", T.LongType()).add("bucket", T.IntegerType()))
+    placed = rows.withColumn("slot", slot("h", len(slots).bit_length() - 1)).join(F.broadcast(table), "slot")  # at most 2 ** MOST_DEPTH rows
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
-    entries = rows.groupBy("h", "norm").agg(best, F.count(F.lit(1)).alias("group_size"))  # bytes are compared here
-    chains = entries.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), (-F.col("best.points")).alias("keep_points"), F.col("best.doc_id").alias("keep_id"), "group_size")
-    owned = chains.withColumn("slot", _slot("h", depth)).join(F.broadcast(table), "slot").drop("slot")  # at most 2 ** MOST_DEPTH
-    index = spool(owned.repartition("bucket").sortWithinPartitions("bucket", "h", "sha"), partition_by=["bucket"])
-    found = narrow.join(index.drop("bucket"), ["h", "sha"])
+    chains = placed.groupBy("bucket", "h", "norm").agg(best, F.count(F.lit(1)).alias("group_size"), F.any_value("sha").alias("sha"))  # bytes are compared here
+    entries = chains.select("bucket", "h", "sha", (-F.col("best.points")).alias("keep_points"), F.col("best.doc_id").alias("keep_id"), "group_size")
+    index = spool(entries.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "sha"))
+    total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    found = hot_join(placed.select("bucket", "h", "sha", "doc_id", "points"), index, ["bucket", "h", "sha"], "group_size", total)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import slices
 
 # HTML elements by their part in a page.
 _UNSEEN = "script style noscript template textarea select option iframe object svg math canvas audio video head title"
@@ -258,7 +258,7 @@ def main_text(page: str) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = [main_text(h) if h else "" for h in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -269,7 +269,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page gives an empty text.  Markup that is cut short or left open is read as far as it goes.  Repeated rows
     and null ids are kept; an empty table gives an empty result; other columns are ignored.
     """
-    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

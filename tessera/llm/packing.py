@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of sequences.
 
 Best-fit decreasing looks at lengths only, and no piece is longer than the largest permitted capacity.  So the histogram of
-piece lengths, which that capacity bounds, is packed on the driver: bins with the same contents are packed together, with a
+piece lengths, which that capacity bounds, is packed on the driver: bins with the same contents are filled together, with a
 count.  Pieces are then numbered within their length, without gaps, and the numbers say which bin takes a piece.
 
 A new bin gets the permitted capacity of least expected cost for a sequence token, ``(fixed + capacity) / filled``, given how
@@ -25,54 +25,72 @@ CAPACITIES = (256, 512, 1024, 2048, 4096)
 FIXED_COST = 16
 
 
-def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, fixed: int = FIXED_COST) -> list[tuple[int, int, tuple[tuple[int, int], ...]]]:
-    """Bins as (capacity, number of such bins, ((length, pieces in each), ...)).
+#: (capacity, number of such bins, ((length, pieces in each), ...))
+Bins = list[tuple[int, int, tuple[tuple[int, int], ...]]]
 
-    Decreasing best fit: the longest pieces left open bins; such bins then take, again and again, the longest length that
-    still fits, as a bin that it fills best.  Equal bins are treated at once; where a length runs short, they are told apart.
-    """
+
+def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, fixed: int = FIXED_COST) -> Bins:
+    """The cheapest of the packings that open bins of any permitted capacity from some smallest one up."""
     sizes = sorted(set(capacities))
-    left = {k: n for k, n in histogram.items() if n > 0}
-    lengths = sorted(left)
-    total = sum(k * n for k, n in left.items())
-    out: list[tuple[int, int, list[tuple[int, int]]]] = []
+    tried = [fill(histogram, sizes, sizes[k:], fixed) for k in range(len(sizes))]
+    return min(tried, key=lambda bins: sum((fixed + capacity) * n for capacity, n, _ in bins))
+
+
+def fill(histogram: dict[int, int], sizes: list[int], opening: list[int], fixed: int) -> Bins:
+    """Decreasing best fit, with bins of the capacities in ``opening`` that are in the end downsized to one of ``sizes``.
+
+    The longest piece left goes to the open bin with the least room that holds it; if none does, it opens
+    a bin.  Open bins are kept by their room, equal ones with a count.  A bin that a piece fits best is still the best for the
+    next piece of that length if there is room, so the pieces of a length go to equal bins at once; the last such bins, if
+    the pieces run short, are told apart.
+    """
+    lengths = sorted((k for k, n in histogram.items() if n > 0), reverse=True)
+    total = sum(k * histogram[k] for k in lengths)
+    smallest = lengths[-1] if lengths else 0
+    rooms: list[int] = []  # ascending; for each, its bins as [number, capacity, contents]
+    open_bins: dict[int, list[list]] = {}
+
+    def add(room: int, bins: int, capacity: int, held: tuple) -> None:
+        if bins:
+            if room not in open_bins:
+                bisect.insort(rooms, room)
+                open_bins[room] = []
+            open_bins[room].append([bins, capacity, held])
 
     def cheapest(length: int) -> int:
         """Of the capacities that hold the length, the one of least cost for a token that it can hope to hold."""
+
         def cost(c: int) -> float:
-            small = lengths[0]
             filled = length
-            if c - length >= small:
-                filled += min(c - length - (small - 1) // 2, total - length)
+            if c - length >= smallest:
+                filled += min(c - length - (smallest - 1) // 2, total - length)
             return (fixed + c) / max(1, filled)
 
-        return min((c for c in sizes if c >= length), key=lambda c: (cost(c), c))
-
-    while lengths:
-        longest = lengths[-1]
-        capacity = cheapest(longest)
-        held: list[tuple[int, int]] = []
-        taken: dict[int, int] = {}
-        room = capacity
-        while True:
-            k = bisect.bisect_right(lengths, room) - 1
-            while k >= 0 and left[lengths[k]] <= taken.get(lengths[k], 0):
-                k -= 1
-            if k < 0:
-                break
-            n = min(room // lengths[k], left[lengths[k]] - taken.get(lengths[k], 0))
-            taken[lengths[k]] = taken.get(lengths[k], 0) + n
-            held.append((lengths[k], n))
-            room -= n * lengths[k]
-        bins = min(left[k] // n for k, n in taken.items())
-        out.append((capacity, bins, held))
-        for k, n in taken.items():
-            left[k] -= n * bins
-            total -= k * n * bins
-            if not left[k]:
-                del left[k]
-                lengths.remove(k)
-    return [(next(c for c in sizes if c >= sum(k * n for k, n in held)), bins, tuple(held)) for _, bins, held in out]
+        return min((c for c in opening if c >= length), key=lambda c: (cost(c), c))
+
+    for length in lengths:
+        left = histogram[length]
+        while left:
+            at = bisect.bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                bins, capacity, held = open_bins[room].pop()
+                if not open_bins[room]:
+                    del open_bins[room], rooms[at]
+            else:
+                capacity = room = cheapest(length)
+                bins, held = -(-left // (room // length)), ()
+            each = room // length
+            whole = min(bins, left // each)
+            rest = left - whole * each if whole < bins else 0
+            add(room - each * length, whole, capacity, (*held, (length, each)))
+            if rest:
+                add(room - rest * length, 1, capacity, (*held, (length, rest)))
+            add(room, bins - whole - (rest > 0), capacity, held)
+            left -= whole * each + rest
+            total -= length * (whole * each + rest)
+    classes = [(capacity, bins, held) for room in rooms for bins, capacity, held in open_bins[room]]
+    return [(next(c for c in sizes if c >= sum(k * n for k, n in held)), bins, held) for _, bins, held in classes]
 
 
 def word_count(text: Column) -> Column:
@@ -94,7 +112,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str
     sized = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1)).cast("long").alias("all"))
     pieces = spool(
         sized.select("doc_id", "all", F.explode(F.expr(f"sequence(0L, (all - 1) div {most}L)")).alias("piece")).select(
-            "doc_id", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("all") - F.col("piece") * most).cast("int").alias("n_tokens")
+            "doc_id", "piece", F.monotonically_increasing_id().alias("row"), (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("all") - F.col("piece") * most).cast("int").alias("n_tokens")
         )
     )
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max(capacities) rows
@@ -109,7 +127,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str
     runs = T.StructType()
     for name in ("n_tokens", "low", "high", "each", "opened", "bin_capacity", "offset"):
         runs = runs.add(name, T.IntegerType() if name in ("n_tokens", "bin_capacity") else T.LongType())
-    numbered = gapless(pieces, ["n_tokens"], ["doc_id", "piece"], "number", 2000, max(histogram.values(), default=0))
+    numbered = gapless(pieces, ["n_tokens"], ["doc_id", "piece", "row"], "number", max(histogram.values(), default=0))
     # For each length, its runs in order; a piece finds its own by its number.  The plan's rows don't depend on the corpus' size.
     of_length = spark.createDataFrame(rows, runs).groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("high", "low", "each", "opened", "bin_capacity", "offset"))).alias("runs"))
     run = F.element_at(F.filter("runs", lambda r: r["high"] > F.col("number")), 1)

@@ -1,17 +1,23 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-With at most four differing bits spread over three segments, one segment differs by at most one bit.  So each fingerprint
-is indexed under 64 keys: for each bit, the segment that holds the bit with that bit left out.  Two linked fingerprints
-then share a key; fingerprints of a key are brought together by an equality shuffle and verified on all 64 bits.
+A fingerprint is cut into few segments, so that one of them differs by at most one bit.  It is indexed under a key for each of
+its bits: the segment that holds the bit, with that bit left out.  Two fingerprints one of whose segments differs by at most one
+bit then share a key; those of a key are brought together by an equality shuffle and verified.
 
-A pair is handed on only at its first shared key and only if the key's links so far don't connect it already, so a dense
-group yields links in proportion to its members, not to its pairs.  Keys with very many fingerprints are split into blocks,
-each pair of blocks a task of its own.
+``near_duplicates`` links 64-bit fingerprints of at most four differing bits: of three segments, one has at most one of them, so
+no link is missed.  A pair is handed on only at its first shared key and only if the key's links so far don't connect it already,
+so a dense group yields links in proportion to its members, not to its pairs.  Keys with very many fingerprints are split into
+blocks; a task compares two blocks with each other, or one with itself.
+
+``similar_documents`` links texts whose shingle sets have a Jaccard similarity of at least 0.8.  Such pairs differ by about a
+seventh of the bits, so fingerprints have 256 bits in twelve segments, and candidates are verified on all bits, then by their
+shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers all pairs of
+different components.  A pair is missed if none of its segments differs by fewer than two bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, spool
+from .common import slices, spool
 from .components import components
 
 SEED = 42
@@ -32,6 +38,10 @@ MOST_BITS = 4
 BLOCK = 8192
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Words of 64 bits, and segments, of the fingerprints of ``similar_documents``, and the width of its shingles.
+WORDS, PARTS, WIDTH = 4, 12, 5
+#: Most differing bits of a candidate: in the first word, which travels with the keys, and in all.
+MOST_IN_WORD, MOST_IN_ALL = 22, 72
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -52,7 +62,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         made = np.array([fingerprint(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], ["doc_id", "fp"])
 
@@ -69,20 +79,22 @@ def _first_key(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified_links(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+def verified_links(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, mine: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows of equal key and sub, which stand together.  They connect what all pairs of at most ``most``
-    differing bits that have this as their first key would connect."""
+    differing bits that have this as their first key would connect.  ``mine`` is a row's block: where sub stands for two
+    blocks, only rows of different blocks are compared."""
+    two = (sub >> 24) != (sub & (1 << 24) - 1)
     n = len(fp)
     group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])) if n else np.zeros(0, np.int64)
     label, lefts, rights, step = np.arange(n), [], [], 1
     at = np.flatnonzero(group[1:] == group[:-1]) if n else np.zeros(0, np.int64)
     while len(at):
-        apart = at[label[at] != label[at + step]]
+        apart = at[(label[at] != label[at + step]) & ~(two[at] & (mine[at] == mine[at + step]))]
         x = fp[apart] ^ fp[apart + step]
         near = np.bitwise_count(x) <= most
         apart, x = apart[near], x[near]
-        mine = (_first_key(x) == key[apart] >> 22) & (x != 0)
-        a, b = apart[mine], apart[mine] + step
+        own = (_first_key(x) == key[apart] >> 22) & (x != 0)
+        a, b = apart[own], apart[own] + step
         if len(a):
             lefts.append(fp[a])
             rights.append(fp[b])
@@ -100,27 +112,30 @@ def verified_links(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, most: int =
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = verified_links(parts[0], parts[1], parts[2].view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
-
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns, cut so that rows that agree in the first ``keys`` columns, and stand together, stay together."""
     held: list[list[np.ndarray]] = []
     for b in batches:
-        now = [b.column(k).to_numpy() for k in range(3)]
-        other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1])) if len(now[0]) else np.zeros(0, np.int64)
-        if len(other) or not held:
-            cut = other[-1] + 1 if len(other) else 0
-            held.append([x[:cut] for x in now])
-            yield out([np.concatenate(x) for x in zip(*held)])
-            held = [[x[cut:] for x in now]]
-        elif held[-1][0].size and len(now[0]) and (held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]):
-            yield out([np.concatenate(x) for x in zip(*held)])
-            held = [now]
-        else:
-            held.append(now)
+        now = [c.to_numpy() for c in b.columns]
+        if not len(now[0]):
+            continue
+        new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in now[:keys]])) + 1
+        if held and any(held[-1][k][-1] != now[k][0] for k in range(keys)):
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        if len(new):
+            held.append([x[: new[-1]] for x in now])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, now = [], [x[new[-1] :] for x in now]
+        held.append(now)
     if held:
-        yield out([np.concatenate(x) for x in zip(*held)])
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parts in _by_key(batches, 2):
+        a, b = verified_links(parts[0], parts[1], parts[2].view(np.uint64), parts[3])
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
 
 def _index(prints: DataFrame) -> DataFrame:
@@ -141,33 +156,219 @@ def _crowded(prints: DataFrame, block: int) -> DataFrame:
 
 def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """Columns u, v: links that connect all fingerprints (distinct, column fp) at most four bits apart."""
-    index = _index(prints).withColumn("sub", F.lit(0).cast("long"))
+    index = _index(prints).withColumn("sub", F.lit(0).cast("long")).withColumn("mine", F.lit(0).cast("long"))
     crowded = spool(_crowded(prints, block))
     if not crowded.isEmpty():
-        mine, other = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.col("other")
-        split = index.drop("sub").join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        index = split.select("key", "fp", (F.least("mine", other) * (1 << 24) + F.greatest("mine", other)).cast("long").alias("sub"))
-    ordered = index.select("key", "sub", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub")
+        index = _in_blocks(index.drop("sub", "mine"), crowded, "fp")
+    ordered = index.select("key", "sub", "fp", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub")
     return ordered.mapInArrow(_links, "u long, v long")
 
 
+def _in_blocks(index: DataFrame, crowded: DataFrame, member: str) -> DataFrame:
+    """Rows of a crowded key once for each other block: ``mine`` is the row's block, ``sub`` stands for the pair of blocks."""
+    mine, other = F.pmod(F.xxhash64(member), F.col("blocks")), F.col("other")
+    split = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine.cast("long")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return split.withColumn("sub", (F.least("mine", other) * (1 << 24) + F.greatest("mine", other)).cast("long")).drop("blocks", "other")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) for every row of ``docs``.
 
-    A null text counts as an empty one; texts without a word have fingerprint zero and are linked like any other.  Ids are
-    integers; a row with a null id gets the component of its fingerprint, and null if no row of the component has an id.
-    Repeated rows are kept.  An empty table gives an empty result.  Other columns are ignored.
+    A null text counts as an empty one; texts without a word have fingerprint zero and are linked like any other.  Ids may
+    have any type with an order; a row with a null id gets the component of its fingerprint, and null if no row of the
+    component has an id.  Repeated rows are kept.  An empty table gives an empty result.  Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = spool(docs.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spool(docs.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"))
     prints = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    bound_batches(docs.sparkSession, 100_000)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    links = spool(near_links(prints.select("fp"), block))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    roots = components(links)
+    roots = components(spool(near_links(prints.select("fp"), block)))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text; a shorter text is one shingle."""
+    words = text.lower().split()  # on bytes: A-Z, and the six white-space bytes
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined)], np.uint64)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
+    return np.unique(np.array([digest(joined[a + 1 : b]) for a, b in zip(ends, ends[width:])], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS times 64 bits: each set if over half of the hashes, mixed anew for each word, have it."""
+    out = np.empty(WORDS, np.uint64)
+    for w in range(WORDS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            x = (hashes[at : at + CHUNK] ^ np.uint64(0xA24BAED4963EE407 * (w + 1) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            ones += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[w] = np.packbits(2 * ones > len(hashes)).view(np.uint64)[0]
+    return out
+
+
+def segments() -> list[tuple[int, int]]:
+    """First bit and end of each segment of a wide fingerprint."""
+    cuts = [64 * WORDS * k // PARTS for k in range(PARTS + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def parts(prints: np.ndarray) -> np.ndarray:
+    """The segments of wide fingerprints (rows), each with the place of its first bit above."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+    return np.stack([lo << 32 | bits[:, lo:hi] @ (np.int64(1) << np.arange(hi - lo)) for lo, hi in segments()], axis=1)
+
+
+def variants(prints: np.ndarray) -> np.ndarray:
+    """Keys of wide fingerprints (rows): for each bit, its number, and above it its segment without the bit."""
+    own = parts(prints)
+    left_out = [(lo + np.arange(hi - lo) << 32) | (own[:, k, None] & (1 << 32) - 1 & ~(np.int64(1) << np.arange(hi - lo))) for k, (lo, hi) in enumerate(segments())]
+    return np.concatenate(left_out, axis=1)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        ids, prints = [], []
+        for t in b.column(1).cast(pa.binary()).to_pylist():
+            h = shingles(t or b"")
+            ids.append(xxhash.xxh64_intdigest(h.tobytes()))
+            prints.append(wide_fingerprint(h))
+        words = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
+        made = [b.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), b.column(1), *(pa.array(words[:, w]) for w in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(made, ["doc_id", "id", "text", *(f"w{w}" for w in range(WORDS))])
+
+
+def _keyed(keys: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """Rows (key, label, id, word) from rows of id, label and the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, label, *words = (c.to_numpy() for c in b.columns)
+            made = keys(np.stack(words, axis=1)) if len(ids) else np.zeros((0, 1), np.int64)
+            again = [np.repeat(x, made.shape[1]) for x in (label, ids, words[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (made.reshape(-1), *again)], ["key", "label", "id", "word"])
+
+    return run
+
+
+def _near(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((word[a] ^ word[b]).view(np.uint64)) <= MOST_IN_WORD
+
+
+def neighbours(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows and of the next ones, where they have one key and may be near."""
+    a = np.flatnonzero(key[1:] == key[:-1])
+    a = a[_near(word, a, a + 1)]
+    return a, a + 1
+
+
+def across(key: np.ndarray, sub: np.ndarray, label: np.ndarray, word: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one key and sub, and of different labels, that may be near; rows stand by key, sub and label.
+    Rows are compared from the end of their own label on, so a label's own pairs cost nothing."""
+    n = len(key)
+    if not n:
+        return
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+    other = new | np.concatenate([[True], label[1:] != label[:-1]])
+    place = np.arange(n)
+
+    def following(marks: np.ndarray) -> np.ndarray:
+        at = np.append(np.flatnonzero(marks), n)
+        return at[np.searchsorted(at, place, side="right")]
+
+    end, partner = following(new), following(other)
+    two = (sub >> 24) != (sub & (1 << 24) - 1)
+    a = np.flatnonzero(partner < end)
+    b = partner[a]
+    while len(a):
+        good = _near(word, a, b) & ~(two[a] & (mine[a] == mine[b]))
+        yield a[good], b[good]
+        b = b + 1
+        live = b < end[a]
+        a, b = a[live], b[live]
+
+
+def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["u", "v"])
+
+
+def _offer_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:  # of a pair of neighbours in different batches, another key offers it, or the second round
+        key, _, ids, word = (c.to_numpy() for c in b.columns)
+        yield _pairs(ids, *neighbours(key, word))
+
+
+def _offer_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, sub, label, ids, word, mine in _by_key(batches, 2):
+        for a, b in across(key, sub, label, word, mine):
+            yield _pairs(ids, a, b)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        found = [shingles(t or b"").view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *found]))
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "set"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Columns doc_id and component_id (smallest id reachable over pairs of Jaccard similarity 0.8 or more) for every row.
+
+    Shingles are of five words without case of A to Z.  Null texts count as empty, and empty texts as equal.  Repeated rows
+    are kept; ids may have any type with an order; rows with null ids get their component's id, null if no row of it has
+    one.  An empty table gives an empty result.  Other columns are ignored.  No pair below 0.8 is linked; of those at or
+    above it, the README says how many the keys find.
+    """
+    kind, words = docs.schema[id_col].dataType.simpleString(), [f"w{w}" for w in range(WORDS)]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spool(docs.mapInArrow(_sets, f"doc_id {kind}, id long, text string, " + ", ".join(f"{w} long" for w in words)))
+    one = spool(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.any_value(w).alias(w) for w in words)))
+    texts, key_row = rows.select("id", "text"), "key long, label long, id long, word long"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = spool(_within(pairs.distinct(), one, words))
+        needed = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        kept = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+        sets = spool(kept.mapInArrow(_shingled, "id long, set array<long>"))
+        both = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
+        common = F.size(F.array_intersect("s", "t"))
+        return spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
+
+    alone = one.select("id", F.col("id").alias("label"), *words)
+    whole = alone.mapInArrow(_keyed(parts), key_row).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))
+    roots = components(some)
+    labelled = spool(one.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), *words))
+    index = labelled.mapInArrow(_keyed(variants), key_row).withColumn("sub", F.lit(0).cast("long")).withColumn("mine", F.lit(0).cast("long"))
+    crowded = spool(_crowded_parts(labelled.mapInArrow(_keyed(parts), key_row), block))
+    if not crowded.isEmpty():  # what such a key holds is counted; keys of one label have nothing to offer
+        held = index.join(crowded, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+        held = spool(held.select("key", F.when(F.col("a") != F.col("b"), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
+        index = _in_blocks(index.join(held.where("blocks is null"), "key", "left_anti").drop("sub", "mine"), held.where("blocks is not null"), "id")
+    rest = index.select("key", "sub", "label", "id", "word", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label", "id")
+    roots = components(some.union(verified(rest.mapInArrow(_offer_across, "u long, v long"))))
+    rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def _crowded_parts(index: DataFrame, block: int) -> DataFrame:
+    """Keys (column key) that may hold more than ``2 * block`` rows, from rows keyed by whole segments."""
+    full = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    widths = F.create_map(*[F.lit(x) for lo, hi in segments() for x in (lo, hi - lo)])
+    first, part = F.shiftrightunsigned("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    bit = full.select(first.alias("lo"), part.alias("part"), F.explode(F.sequence(F.lit(0), widths[first] - 1)).alias("b"))
+    return bit.select(F.expr("shiftleft(cast(lo + b as bigint), 32) | (part & ~shiftleft(1L, b))").alias("key")).distinct()
+
+
+def _within(pairs: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
+    """The pairs whose fingerprints differ in at most MOST_IN_ALL bits."""
+    left = one.select(F.col("id").alias("u"), *(F.col(w).alias(f"u_{w}") for w in words))
+    right = one.select(F.col("id").alias("v"), *(F.col(w).alias(f"v_{w}") for w in words))
+    apart = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words), F.lit(0))
+    return pairs.join(left, "u").join(right, "v").where(apart <= MOST_IN_ALL).select("u", "v")

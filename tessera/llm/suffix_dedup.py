@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, spool
+from .common import slices, spool
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of an anchor.
@@ -142,7 +142,7 @@ _ROW = ["anchor", "context", "doc", "start", "span"]  # span: bytes * 256 + offs
 
 def _scan(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             parts = [np.concatenate(x) for x in zip(*(contexts(p, size) for p in _pieces(ids, texts, size)))]
             by = np.lexsort((parts[3], parts[2], parts[1], parts[0]))
@@ -194,9 +194,9 @@ _SHARD_ROW = ["shard_key", "doc", "start", "span", "bytes"]  # bytes null: remov
 
 def _fetch(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple[int, int, int, int, bytes | None]] = []
-            seen: dict[int, tuple[int, int]] = {}
+            seen: dict[bytes, tuple[int, int]] = {}
             for doc, text, asked in sorted(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()), key=lambda r: (r[0], r[1])):
                 for x in sorted(asked, key=lambda x: x["start"]):
                     start, n = x["start"], x["span"] >> 8
@@ -207,7 +207,7 @@ def _fetch(size: int) -> Callable:
                         some = text[at : at + size]
                         key = xxhash.xxh3_64_intdigest(some, x["anchor"] & (1 << 64) - 1)
                         key -= (key >> 63) << 64
-                        if seen.setdefault(key, (doc, at)) == (doc, at):
+                        if seen.setdefault(some, (doc, at)) == (doc, at):
                             rows.append((key, doc, at, size, some))
                         else:
                             rows.append((key, doc, at, size, None))
@@ -265,14 +265,13 @@ def _shards(size: int) -> Callable:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, gone in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+    for b in slices(batches):
+        out, as_text = [], _TEXT in b.schema.names
+        for text, gone in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
             at, kept, runs, removed, n = 0, [], 0, 0, len(text)
             open_end = -1
             for start, end in sorted((g["start"], g["end"]) for g in gone or ()):
-                start, end = min(start, n), min(end, n)
-                if end <= max(start, open_end):
+                if end <= open_end:
                     continue
                 if start > open_end:
                     runs += 1
@@ -282,35 +281,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed, at, open_end = removed + end - start, end, end
             kept.append(text[at:])
             left = b"".join(kept)
-            out.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left, left.decode("utf-8", "ignore") if as_text else None))
+        cols = list(zip(*out)) or [()] * 6
+        made = [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())]
+        if as_text:
+            made.append(pa.array(cols[5], pa.string()))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"][: len(made)]
+        rest = [k for k in range(2, b.num_columns) if b.schema.names[k] != _TEXT]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), *made], [*(b.schema.names[k] for k in rest), *names])
+
+
+#: A column that asks _cut for the rest as text as well.
+_TEXT = "_as_text"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """Columns doc (a long for each row, in the order that earlier is judged by), text, doc_id and those to carry.
+
+    Where ids are unique, they are the longs themselves.  Otherwise the rows are put in the order of ids, null first, and of
+    a hash of their texts, and numbered, which the shared folder keeps."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    placed = rows.withColumn("_by", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("_by"), F.asc("_tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "_by", "_tie")
+    return spool(placed.drop("_by", "_tie").withColumn("doc", F.monotonically_increasing_id()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for every row of ``docs``.
 
     A byte goes if a string of ``size`` bytes that covers it also starts earlier: in a document of smaller id, or earlier in
-    the same one.  A null text counts as empty; shorter texts stay whole.  Ids are integers and name documents: repeated
-    rows of an id are one document, whose rows get the same answer; if their texts differ, what is found in one is
-    removed at the same places of the others.  Null ids are one id, smaller than all others.  An empty table gives an empty
-    result.  Other columns are ignored.
+    the same one.  A null text counts as empty; shorter texts stay whole.  Ids are integers; a null id is smaller than all
+    others.  Each row is a document of its own, also where ids are repeated or null: rows of one id come in the order of a
+    hash of their texts.  An empty table gives an empty result.  The columns of ``carry`` come through as they are, and with
+    them kept_text, the rest without bytes that make no character; other columns are ignored.
     """
     if not ANCHOR < size < 256 - ANCHOR:
         raise ValueError(f"size must be between {ANCHOR + 1} and {255 - ANCHOR}")
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = _texts(docs, id_col, text_col, carry)
     types = ", ".join(f"{c} long" for c in _ROW)
-    placed = texts.mapInArrow(_scan(size), types).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "start")
+    placed = texts.select("doc", "text").mapInArrow(_scan(size), types).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "start")
     found = spool(placed.mapInArrow(_compare, ", ".join(f"{c} long" for c in _FOUND)))
     asked = found.where("kind = 1").drop("kind")
     crowds = asked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded"))
     asked = asked.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     of_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "span", "crowded")).alias("asked"))
-    fetched = texts.join(of_doc, "doc").select("doc", "text", "asked").mapInArrow(_fetch(size), "shard_key long, doc long, start long, span long, bytes binary")
+    fetched = texts.select("doc", "text").join(of_doc, "doc").select("doc", "text", "asked").mapInArrow(_fetch(size), "shard_key long, doc long, start long, span long, bytes binary")
     by_suffix = fetched.repartition("shard_key").sortWithinPartitions("shard_key", "doc", "start").mapInArrow(_shards(size), "doc long, start long, end long")
     gone = found.where("kind = 0").select("doc", "start", (F.col("start") + F.col("span")).alias("end")).union(by_suffix)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    cut = texts.join(gone, "doc", "left").select("doc", "text", "gone").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return cut.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    cut = texts.join(gone, "doc", "left").select("text", "gone", "doc_id", *carry, *([F.lit(True).alias(_TEXT)] if carry else []))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[2:] if f.name != _TEXT)
+    return cut.mapInArrow(_cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + (", kept_text string" if carry else ""))

@@ -1,6 +1,8 @@
 """Corpus operators against brute force, on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import bisect
 import hashlib
+import heapq
 import random
 import zlib
 
@@ -9,7 +11,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import bpe, exact_dedup, html_text, langid, licences, neighbours, packing, sharding, simhash, suffix_dedup
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -61,13 +65,45 @@ def test_sharding_keeps_groups_and_balances(docs, empty):
     assert sharding.shard_rows(empty, 4).collect() == []
 
 
-def test_schedule_is_longest_first():
-    assert sharding.schedule([5, 9, 3, 3, 4], 2) == [1, 0, 0, 1, 1]
-    loads = [0, 0, 0]
-    sizes = [random.Random(1).randint(1, 50) for _ in range(200)]
-    for size, s in zip(sizes, sharding.schedule(sizes, 3)):
+def one_by_one(sizes, shards):
+    heap, loads = [(0, s) for s in range(shards)], [0] * shards
+    for size in sorted((k for k, n in sizes.items() for _ in range(n)), reverse=True):
+        load, s = heapq.heappop(heap)
         loads[s] += size
-    assert max(loads) - min(loads) <= 50
+        heapq.heappush(heap, (load + size, s))
+    return loads
+
+
+@pytest.mark.parametrize("shards", [1, 3, 40])
+def test_schedule_is_longest_first(shards):
+    for seed in range(30):
+        rng = random.Random(seed)
+        sizes = {rng.randint(1, 400): rng.choice((1, 2, 7, 300, 5000)) for _ in range(25)}
+        loads, taken = [0] * shards, {}
+        for size, low, high, shard in sharding.schedule(sizes, shards):
+            loads[shard] += size * (high - low)
+            assert low == taken.get(size, 0)
+            taken[size] = high
+        assert taken == sizes and loads == one_by_one(sizes, shards)
+
+
+def test_sharding_spreads_over_forty(spark):
+    rng = random.Random(8)
+    made = ["x" * int(rng.lognormvariate(6, 1)) + str(k) for k in range(4000)]
+    rows = [(None if k % 3 == 0 else k, t) for k, t in enumerate(made)] + [(None, "the same text")] * 900 + [(5, made[5])] * 3
+    got = sharding.shard_rows(table(spark, rows)).collect()
+    loads = [0] * 40
+    for r in got:
+        loads[r.shard] += r.size
+    sizes = {}
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 16
+    for size in groups.values():
+        sizes[size] = sizes.get(size, 0) + 1
+    assert len(got) == len(rows) and loads == one_by_one(sizes, 40)
+    for s in range(40):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(1 for r in got if r.shard == s)))
 
 
 def components_by_hand(prints):
@@ -111,7 +147,8 @@ def test_simhash_links_random_neighbours():
         rows = sorted((f & mask, f) for f in fp)
         part = {m: k for k, m in enumerate(sorted({m for m, _ in rows}))}
         keys = np.array([(key << 22) + part[m] for m, _ in rows])
-        a, b = simhash.verified_links(keys, np.zeros(len(rows), np.int64), np.array([f for _, f in rows], np.uint64))
+        none = np.zeros(len(rows), np.int64)
+        a, b = simhash.verified_links(keys, none, np.array([f for _, f in rows], np.uint64), none)
         links |= {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
     assert all(bin(a ^ b).count("1") <= 4 for a, b in links)
     up = {f: f for f in fp}
@@ -140,6 +177,37 @@ def test_language(spark, empty):
     assert told[500].rejected and all(0 <= r.score <= 1 for r in told.values())
     nothing = langid.fit(empty)
     assert langid.identify(empty, nothing).collect() == [] and langid.identify(docs, nothing).where("lang_pred <> 'und'").count() == 0
+    clash = docs.select("*", F.lit("x").alias("score"), F.lit("x").alias("rejected"), F.lit(1).alias("held_out"))
+    assert sorted(langid.identify(clash, model).columns) == ["doc_id", "held_out", "lang_pred", "rejected", "score"]
+
+
+STEMS = {"en": "the house and water with there would people first think", "de": "der haus und wasser mit nicht werden leute zuerst denken", "fr": "la maison et eau avec pas seraient gens premier penser"}
+
+
+def sentences(lang, n, seed=0):
+    rng = random.Random(seed + zlib.crc32(lang.encode()))
+    return [" ".join(rng.choice(STEMS[lang].split()) for _ in range(rng.randint(3, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("langs", [("en", "de"), ("en", "de", "fr")])
+def test_language_rejects_what_it_never_learned(langs):
+    model = langid.train([(t, lang) for lang in langs for t in sentences(lang, 120)])
+    for lang in langs:
+        told = [model.predict(t) for t in sentences(lang, 100, 99)]
+        assert all(x[0] == lang for x in told) and sum(x[2] for x in told) <= 2
+    strange = ["это совсем другой язык и его никто не учил", "これはまったく別の言語です", "xqzv kjwpf qqgz vkzx wjqk zzpx", "ez egy teljesen másik nyelv amelyet senki sem tanult"]
+    assert all(model.predict(t)[2] for t in strange)
+    assert model.predict("a b c")[0] in langs and model.predict(None) == model.predict("12 !") == ("und", 0.0, True)
+    assert 0.01 < model.temperature < 100
+    tied = langid.train([("same words here", "b"), ("same words here", "a")] * 30)
+    assert 0 <= tied.predict("same words here")[1] <= 0.7
+
+
+def test_language_learns_every_language():
+    rng = random.Random(4)
+    stems = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(510)}
+    model = langid.train([(" ".join(rng.sample(words, 5)), lang) for lang, words in stems.items() for _ in range(3)], epochs=2)
+    assert len(model.langs) == 510
 
 
 def removed_by_hand(rows, size=100):
@@ -169,6 +237,15 @@ def test_suffix_dedup_matches_windows(docs, empty, crowd):
         assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_suffix_dedup_takes_rows_of_one_id_apart(spark):
+    rows = [(None, "a" + PASSAGE), (None, "b" * 200), (None, "a" + PASSAGE), (4, PASSAGE + "x"), (4, "y" * 30 + PASSAGE), (7, "end")]
+    table_ = spark.createDataFrame([(i, t, "c", "n") for i, t in rows], "doc_id long, text string, kept string, n_bytes string")
+    got = suffix_dedup.remove_repeats(table_).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in got) == sorted((i is None, len(t)) for i, t in rows)
+    assert sum(r.n_removed for r in got if r.doc_id is None) == len(PASSAGE) + 1 + 199  # the second copy, and all but the first b
+    assert sorted(r.kept.decode() for r in got if r.doc_id == 4) == ["x", "y" * 30]
+
+
 def test_suffix_array_and_prefixes():
     for seed in range(200):
         rng = random.Random(seed)
@@ -198,7 +275,8 @@ def test_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)], "x") for i in range(350)]
     rows += [(400, None, "x"), (500, [0.0] * 8, "x"), (600, [float("nan")] * 8, "x"), (601, [None] * 8, "x"), (700, rows[7][1], "x"), (None, rows[1][1], "x"), (701, [1.0, 2.0], "x"), (5, rows[5][1], "x")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    rows += [(801, rows[100][1], "x"), (802, rows[100][1], "x")]  # equal distances
+    table = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, score string, rank int")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(table).collect()}
     usable = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and i not in (400, 500, 600, 601, 701)}
     for q in (0, 100, 200, 300, 700):
@@ -228,6 +306,35 @@ def test_packing(docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def best_fit_by_hand(pieces, capacity):
+    rooms = []
+    for n in sorted(pieces, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return rooms
+
+
+def test_plan_is_best_fit_decreasing():
+    for seed in range(150):
+        rng = random.Random(seed)
+        pieces = [rng.randint(1, rng.choice((40, 100))) for _ in range(rng.choice((5, 60, 700)))]
+        histogram = {n: pieces.count(n) for n in set(pieces)}
+        made = packing.plan(histogram, (100,))
+        rooms = sorted(100 - sum(k * n for k, n in held) for _, bins, held in made for _ in range(bins))
+        assert rooms == best_fit_by_hand(pieces, 100)
+        joint = packing.plan(histogram, (20, 50, 100))
+        filled = {}
+        for capacity, bins, held in joint:
+            used = sum(k * n for k, n in held)
+            assert used <= capacity and capacity == min(c for c in (20, 50, 100) if c >= used)
+            for k, n in held:
+                filled[k] = filled.get(k, 0) + n * bins
+        assert filled == histogram
+        cost = [sum((packing.FIXED_COST + c) * bins for c, bins, _ in some) for some in (joint, made)]
+        assert cost[0] <= cost[1]
+
+
 @pytest.mark.parametrize("capacity", [100_000, 3])
 def test_exact_dedup(docs, empty, capacity):
     rows = exact_dedup.exact_duplicates(docs, capacity=capacity).collect()
@@ -244,12 +351,22 @@ def test_exact_dedup(docs, empty, capacity):
 
 
 def test_directory_doubles():
-    counts = {k: 10 for k in range(0, 4096, 64)}
-    slots = exact_dedup.directory(counts, 100)
-    per = {}
+    counts = {k: 10 for k in range(0, 4096, 64)} | {1: 5, 2: 5}
+    slots = exact_dedup.split(counts, 12, 100)
+    deep = len(slots).bit_length() - 1
+    held = {}
     for k, n in counts.items():
-        per[slots[k >> (12 - len(slots).bit_length() + 1)]] = per.get(slots[k >> (12 - len(slots).bit_length() + 1)], 0) + n
-    assert max(per.values()) <= 100 and exact_dedup.directory({}, 5) == [0]
+        held[slots[k >> 12 - deep]] = held.get(slots[k >> 12 - deep], 0) + n
+    assert max(held.values()) <= 100 and sum(held.values()) == sum(counts.values())
+    assert slots == sorted(slots) and set(slots) == set(range(max(slots) + 1))  # a bucket owns a range of keys
+    assert exact_dedup.split({}, 4, 5) == [0] and exact_dedup.split({3: 9}, 2, 5) == [0, 0, 1, 2]
+
+
+def test_directory_tells_crowded_prefixes_apart(spark):
+    close = [(7 << 40) + k for k in range(60)]  # alike in more bits than the directory may have
+    keys = spark.createDataFrame([(k,) for k in [*close, *(h << 50 for h in range(-4000, 4000))]], "h long")
+    slots = exact_dedup.directory(keys, 20)
+    assert len(slots) <= 1 << exact_dedup.MOST_DEPTH and len(set(slots)) >= 8000 // 20
 
 
 def test_licences(spark):
@@ -278,26 +395,53 @@ def test_bpe_like_the_library(docs, empty):
     assert bpe.encode_texts(empty, path).collect() == []
 
 
-def test_pipeline_against_its_operators(spark, tmp_path):
-    import corpus_pipeline
+def as_read(spark, rows, where):
+    """Documents as files, as the stages take them."""
+    made = [(i, t, lang, "s", None if t is None else len(t), "more") for i, t, lang in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, kept string").repartition(3).write.parquet(f"{where}/documents.parquet")
+    return spark.read.parquet(f"{where}/documents.parquet")
 
-    rows = [(i, t) for i, t in texts().items() if i not in (3, 5)]
-    table(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    one = corpus_pipeline.language(spark, docs, str(tmp_path))
-    assert set(one.columns) == set(corpus_pipeline.COLUMNS) and not {1, 2} & {r.doc_id for r in one.collect()}
-    two = {r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, "").collect()}
+
+def test_pipeline_stages_judge_rows(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(i, t, "en") for i, t in texts().items()] + [(60, texts()[60], "en"), (None, "nobody's text here", "en"), (None, "another text of nobody", None), (None, "nobody's text here", "en")]
+    docs = as_read(spark, rows, tmp_path)
+    assert set(stages["language"](spark, docs, "").columns) == set(corpus_pipeline.COLUMNS)
     groups = {}
-    for i, t in rows:
-        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i))
-    assert two == {min(g)[1] for g in groups.values()}
-    three = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
-    near = components_by_hand({i: simhash.fingerprint((t or "").encode()) for i, t in rows})
-    assert three == {i for i, c in near.items() if i == c}
-    four = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
-    assert len(four) == len(rows) and four[1].text is None and four[11].text == "other" and four[11].n_chars == 5
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.where("bin_offset + n_tokens > bin_capacity").count() == 0 and packed.count() > 0
+    for i, t, _ in rows:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i is None, i or 0))
+    kept = stages["exact_copies"](spark, docs, "").collect()
+    best = sorted(min(g)[1:] for g in groups.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == best  # one row of each group, also of repeated and null ids
+    four = stages["repeated_passages"](spark, docs, "").collect()
+    assert len(four) == len(rows) and next(r for r in four if r.doc_id == 1).text is None
+    assert next(r for r in four if r.doc_id == 11).text == "other" and next(r for r in four if r.doc_id == 11).n_chars == 5
+    assert sorted(r.text for r in four if r.doc_id is None) == sorted(t for i, t, _ in rows if i is None)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Coder(public_tokenizers.path(corpus_pipeline.VOCABULARY)).ranks, special_tokens={})
+    want, got = {}, {}
+    for i, t, _ in rows:
+        want[i] = want.get(i, 0) + len(library.encode_ordinary(t or "")) + 1
+    packed = stages["packing"](spark, docs, "").collect()
+    for r in packed:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+        assert r.bin_offset + r.n_tokens <= r.bin_capacity
+    assert got == want
+
+
+def test_pipeline_runs_and_takes_nothing(spark, tmp_path):
+    rows = [(i, t, "en") for i, t in texts().items()] + [(None, "x gamma omega alpha " * 4, None)]
+    as_read(spark, rows, tmp_path / "some")
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert out and {r.doc_id for r in out} <= {i for i, _, _ in rows} and None in {r.doc_id for r in out} and not {1, 2, 3, 5} & {r.doc_id for r in out}
+    as_read(spark, [], tmp_path / "none")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_session_settings_stay(spark, docs):
+    before = dict(r for r in spark.conf.getAll.items() if r[0].startswith("spark.sql"))
+    for df in (simhash.near_duplicates(docs), neighbours.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0])], "vec_id long, embedding array<float>")), bpe.encode_texts(docs, public_tokenizers.path(corpus_pipeline.VOCABULARY))):
+        df.count()
+    assert {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")} == before
 
 
 def test_exact_sql(spark, tmp_path, docs):
