@@ -161,12 +161,22 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        score = np.zeros(b.num_rows)
-        for (at, x), (_, y) in zip(matrices(b.column(2)), matrices(b.column(3))):  # of one dimension, row by row
-            score[at] = exact_distances(x, y)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+def _scored(k: int):  # noqa: ANN202
+    """Of each query's pairs in a batch, the k nearest: a query may have very many, where one vector has many copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = np.zeros(b.num_rows)
+            for (at, x), (_, y) in zip(matrices(b.column(2)), matrices(b.column(3))):  # of one dimension, row by row
+                score[at] = exact_distances(x, y)
+            query, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            by = np.lexsort((ids, score, query))
+            place = np.arange(len(by))
+            first = np.maximum.accumulate(np.where(np.diff(query[by], prepend=query[by][:1] - 1) != 0, place, 0))
+            by = by[place - first < k]
+            yield pa.RecordBatch.from_arrays([pa.array(x[by]) for x in (query, ids, score)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def _ranked(k: int):  # noqa: ANN202
@@ -233,7 +243,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     limit = upper.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("high")).otherwise(float("inf")).alias("limit"))
     left = bounds.join(limit, "query_id").where("low <= limit").select("query_id", "vec_id")
     pairs = left.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id")
-    scored = pairs.select("query_id", "vec_id", "q", "c").mapInArrow(_scored, "query_id long, vec_id long, score double")
+    scored = pairs.select("query_id", "vec_id", "q", "c").mapInArrow(_scored(k), "query_id long, vec_id long, score double")
     return scored.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_ranked(k), "query_id long, rank int, vec_id long, score double")
 
 
