@@ -10,14 +10,14 @@ so a dense group yields links in proportion to its members, not to its pairs.  K
 blocks; a task compares two blocks with each other, or one with itself.
 
 ``similar_documents`` links texts whose shingle sets have a Jaccard similarity of at least 0.8.  Such pairs differ by about a
-seventh of the bits, so fingerprints have 256 bits in twelve segments, and candidates are verified on all bits, then by their
+seventh of the bits, so fingerprints have four words of 64 bits, each cut into three segments, and candidates are verified on all bits, then by their
 shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers all pairs of
 different components.  A pair is missed if none of its segments differs by fewer than two bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -38,8 +38,8 @@ MOST_BITS = 4
 BLOCK = 8192
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
-#: Words of 64 bits, and segments, of the fingerprints of ``similar_documents``, and the width of its shingles.
-WORDS, PARTS, WIDTH = 4, 12, 5
+#: Words of 64 bits of the fingerprints of ``similar_documents``, and the width of its shingles.
+WORDS, WIDTH = 4, 5
 #: Most differing bits of a candidate: in the first word, which travels with the keys, and in all.
 MOST_IN_WORD, MOST_IN_ALL = 22, 72
 
@@ -139,18 +139,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(prints: DataFrame) -> DataFrame:
-    """Rows (key, fp): 64 keys for each fingerprint.  A key is the number of the bit left out, then the segment."""
+    """64 rows for each fingerprint fp, with its other columns: under each key.  A key is the number of the bit left out, then the
+    segment; ``at``, where there are several words, is the number of the word."""
     bit = F.col("bit")
     low = F.when(bit < SEGMENTS[1], SEGMENTS[0]).when(bit < SEGMENTS[2], SEGMENTS[1]).otherwise(SEGMENTS[2])
     part = F.expr("(shiftrightunsigned(fp, lo) & (case when lo = 0 then 4194303L else 2097151L end)) & ~shiftleft(1L, bit - lo)")
-    return prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).withColumn("lo", low).select((F.shiftleft(bit.cast("long"), 22) + part).alias("key"), "fp")
+    number = (F.col("at") * 64 + bit).cast("long") if "at" in prints.columns else bit.cast("long")
+    rest = [c for c in prints.columns if c != "at"]
+    return prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).withColumn("lo", low).select((F.shiftleft(number, 22) + part).alias("key"), *rest)
+
+
+def _parts(prints: DataFrame) -> DataFrame:
+    """Three rows for each fingerprint fp, with its other columns, under its whole segments: a key, its first bit and width."""
+    number = F.col("at") * 64 if "at" in prints.columns else F.lit(0)
+    cuts = [F.struct(F.lit(lo).alias("lo"), F.lit(hi - lo).alias("bits"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for lo, hi in zip(SEGMENTS, SEGMENTS[1:])]
+    cut = prints.select("*", F.explode(F.array(*cuts)).alias("s")).withColumn("first", (number + F.col("s.lo")).cast("long"))
+    return cut.select((F.shiftleft("first", 22) + F.col("s.part")).alias("key"), F.col("s.bits").alias("bits"), *(c for c in prints.columns if c != "at"))
 
 
 def _crowded(prints: DataFrame, block: int) -> DataFrame:
     """Keys that may have more than ``2 * block`` fingerprints, with the number of blocks to split them into."""
-    parts = [F.struct(F.lit(lo).alias("lo"), F.lit(hi - lo).alias("bits"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for lo, hi in zip(SEGMENTS, SEGMENTS[1:])]
-    full = prints.select(F.explode(F.array(*parts)).alias("s")).select("s.*").groupBy("lo", "bits", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    keys = full.select("n", "part", "lo", F.explode(F.expr("sequence(0, bits - 1)")).alias("b")).select(F.expr("shiftleft(cast(lo + b as bigint), 22) + (part & ~shiftleft(1L, b))").alias("key"), "n")
+    full = _parts(prints).groupBy("key", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    bit = full.select("n", F.shiftrightunsigned("key", 22).alias("first"), F.col("key").bitwiseAND(F.lit((1 << 22) - 1)).alias("part"), F.explode(F.expr("sequence(0, bits - 1)")).alias("b"))
+    keys = bit.select(F.expr("shiftleft(first + b, 22) + (part & ~shiftleft(1L, b))").alias("key"), "n")
     return keys.groupBy("key").agg(F.ceil((F.sum("n") + block) / F.lit(block)).cast("int").alias("blocks"))
 
 
@@ -164,10 +175,10 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return ordered.mapInArrow(_links, "u long, v long")
 
 
-def _in_blocks(index: DataFrame, crowded: DataFrame, member: str) -> DataFrame:
+def _in_blocks(index: DataFrame, crowded: DataFrame, member: str, how: str = "left") -> DataFrame:
     """Rows of a crowded key once for each other block: ``mine`` is the row's block, ``sub`` stands for the pair of blocks."""
     mine, other = F.pmod(F.xxhash64(member), F.col("blocks")), F.col("other")
-    split = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine.cast("long")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    split = index.join(crowded, "key", how).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine.cast("long")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return split.withColumn("sub", (F.least("mine", other) * (1 << 24) + F.greatest("mine", other)).cast("long")).drop("blocks", "other")
 
 
@@ -190,70 +201,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text; a shorter text is one shingle."""
+    """Sorted distinct 64-bit hashes of the shingles of a UTF-8 text, made of their words' hashes; a shorter text is one shingle."""
     words = text.lower().split()  # on bytes: A-Z, and the six white-space bytes
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return np.array([digest(joined)], np.uint64)
-    ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
-    return np.unique(np.array([digest(joined[a + 1 : b]) for a, b in zip(ends, ends[width:])], np.uint64))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS times 64 bits: each set if over half of the hashes, mixed anew for each word, have it."""
-    out = np.empty(WORDS, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    own = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
+    made = own[: len(own) - width + 1]
+    for k in range(1, width):
+        made = (made ^ (made >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + own[k : k + len(made)]
+    return np.unique((made ^ (made >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_LANES = np.uint64(0x0101010101010101)
+
+
+def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of WORDS words for each set of hashes (joined, of the given sizes, none empty): a bit is 1 if over half of the
+    set's hashes, mixed anew for each word, have it."""
+    starts = np.cumsum(sizes) - sizes
+    # Bits are counted in lanes of a byte, eight to a word, so over at most 255 hashes at a time.
+    runs = -(-sizes // 255)
+    at = np.repeat(starts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    of_set = np.cumsum(runs) - runs
+    out = np.empty((len(sizes), WORDS), np.uint64)
     for w in range(WORDS):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), CHUNK):
-            x = (hashes[at : at + CHUNK] ^ np.uint64(0xA24BAED4963EE407 * (w + 1) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            ones += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        out[w] = np.packbits(2 * ones > len(hashes)).view(np.uint64)[0]
+        x = (hashes ^ np.uint64(0xA24BAED4963EE407 * (w + 1) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        word = np.zeros(len(sizes), np.uint64)
+        for bit in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(bit)) & _LANES, at).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes.astype(np.int64), of_set, axis=0)
+            word |= ((2 * ones > sizes[:, None]).astype(np.uint64) << (np.arange(0, 64, 8, dtype=np.uint64) + np.uint64(bit))).sum(axis=1, dtype=np.uint64)
+        out[:, w] = word
     return out
 
 
-def segments() -> list[tuple[int, int]]:
-    """First bit and end of each segment of a wide fingerprint."""
-    cuts = [64 * WORDS * k // PARTS for k in range(PARTS + 1)]
-    return list(zip(cuts, cuts[1:]))
-
-
-def parts(prints: np.ndarray) -> np.ndarray:
-    """The segments of wide fingerprints (rows), each with the place of its first bit above."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    return np.stack([lo << 32 | bits[:, lo:hi] @ (np.int64(1) << np.arange(hi - lo)) for lo, hi in segments()], axis=1)
-
-
-def variants(prints: np.ndarray) -> np.ndarray:
-    """Keys of wide fingerprints (rows): for each bit, its number, and above it its segment without the bit."""
-    own = parts(prints)
-    left_out = [(lo + np.arange(hi - lo) << 32) | (own[:, k, None] & (1 << 32) - 1 & ~(np.int64(1) << np.arange(hi - lo))) for k, (lo, hi) in enumerate(segments())]
-    return np.concatenate(left_out, axis=1)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        ids, prints = [], []
-        for t in b.column(1).cast(pa.binary()).to_pylist():
-            h = shingles(t or b"")
-            ids.append(xxhash.xxh64_intdigest(h.tobytes()))
-            prints.append(wide_fingerprint(h))
-        words = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
-        made = [b.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), b.column(1), *(pa.array(words[:, w]) for w in range(WORDS))]
-        yield pa.RecordBatch.from_arrays(made, ["doc_id", "id", "text", *(f"w{w}" for w in range(WORDS))])
-
-
-def _keyed(keys: Callable[[np.ndarray], np.ndarray]) -> Callable:
-    """Rows (key, label, id, word) from rows of id, label and the words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, label, *words = (c.to_numpy() for c in b.columns)
-            made = keys(np.stack(words, axis=1)) if len(ids) else np.zeros((0, 1), np.int64)
-            again = [np.repeat(x, made.shape[1]) for x in (label, ids, words[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (made.reshape(-1), *again)], ["key", "label", "id", "word"])
-
-    return run
+        sets = [shingles(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+        ids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        words = wide_fingerprints(np.concatenate(sets), np.array([len(h) for h in sets])).view(np.int64) if sets else np.zeros((0, WORDS), np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(1), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS))], ["doc_id", "id", "text", *(f"w{w}" for w in range(WORDS))])
 
 
 def _near(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,13 +256,17 @@ def neighbours(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, a + 1
 
 
-def across(key: np.ndarray, sub: np.ndarray, label: np.ndarray, word: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one key and sub, and of different labels, that may be near; rows stand by key, sub and label.
-    Rows are compared from the end of their own label on, so a label's own pairs cost nothing."""
+def across(key: np.ndarray, label: np.ndarray, word: np.ndarray, sub: np.ndarray | None = None, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one key (and sub), and of different labels, that may be near; rows stand by key, sub and label.
+    Rows are compared from the end of their own label on, so a label's own pairs cost nothing.  Where sub stands for two
+    blocks, only rows of different blocks (mine) are compared."""
     n = len(key)
     if not n:
         return
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    if sub is not None:
+        new[1:] |= sub[1:] != sub[:-1]
+        two = (sub >> 24) != (sub & (1 << 24) - 1)
     other = new | np.concatenate([[True], label[1:] != label[:-1]])
     place = np.arange(n)
 
@@ -282,11 +275,12 @@ def across(key: np.ndarray, sub: np.ndarray, label: np.ndarray, word: np.ndarray
         return at[np.searchsorted(at, place, side="right")]
 
     end, partner = following(new), following(other)
-    two = (sub >> 24) != (sub & (1 << 24) - 1)
     a = np.flatnonzero(partner < end)
     b = partner[a]
     while len(a):
-        good = _near(word, a, b) & ~(two[a] & (mine[a] == mine[b]))
+        good = _near(word, a, b)
+        if sub is not None:
+            good &= ~(two[a] & (mine[a] == mine[b]))
         yield a[good], b[good]
         b = b + 1
         live = b < end[a]
@@ -299,13 +293,19 @@ def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _offer_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:  # of a pair of neighbours in different batches, another key offers it, or the second round
-        key, _, ids, word = (c.to_numpy() for c in b.columns)
+        key, ids, word = (c.to_numpy() for c in b.columns)
         yield _pairs(ids, *neighbours(key, word))
 
 
 def _offer_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, label, ids, word in _by_key(batches, 1):
+        for a, b in across(key, label, word):
+            yield _pairs(ids, a, b)
+
+
+def _offer_across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, sub, label, ids, word, mine in _by_key(batches, 2):
-        for a, b in across(key, sub, label, word, mine):
+        for a, b in across(key, label, word, sub, mine):
             yield _pairs(ids, a, b)
 
 
@@ -328,7 +328,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = spool(docs.mapInArrow(_sets, f"doc_id {kind}, id long, text string, " + ", ".join(f"{w} long" for w in words)))
     one = spool(rows.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.any_value(w).alias(w) for w in words)))
-    texts, key_row = rows.select("id", "text"), "key long, label long, id long, word long"
+    texts = rows.select("id", "text")
+
+    def by_word(prints: DataFrame, *more: str) -> DataFrame:
+        return prints.select("id", *more, F.col("w0").alias("word"), F.posexplode(F.array(*words)).alias("at", "fp"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = spool(_within(pairs.distinct(), one, words))
@@ -339,31 +342,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         common = F.size(F.array_intersect("s", "t"))
         return spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
 
-    alone = one.select("id", F.col("id").alias("label"), *words)
-    whole = alone.mapInArrow(_keyed(parts), key_row).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    whole = _parts(by_word(one)).select("key", "id", "word").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))
     roots = components(some)
     labelled = spool(one.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), *words))
-    index = labelled.mapInArrow(_keyed(variants), key_row).withColumn("sub", F.lit(0).cast("long")).withColumn("mine", F.lit(0).cast("long"))
-    crowded = spool(_crowded_parts(labelled.mapInArrow(_keyed(parts), key_row), block))
-    if not crowded.isEmpty():  # what such a key holds is counted; keys of one label have nothing to offer
+    index = _index(by_word(labelled, "label")).select("key", "label", "id", "word")
+    crowded = spool(_crowded(by_word(labelled), block))
+    if crowded.isEmpty():
+        offered = _offered(index)
+    else:  # what such a key holds is counted; keys of one label have nothing to offer, the others are split
         held = index.join(crowded, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
         held = spool(held.select("key", F.when(F.col("a") != F.col("b"), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
-        index = _in_blocks(index.join(held.where("blocks is null"), "key", "left_anti").drop("sub", "mine"), held.where("blocks is not null"), "id")
-    rest = index.select("key", "sub", "label", "id", "word", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label", "id")
-    roots = components(some.union(verified(rest.mapInArrow(_offer_across, "u long, v long"))))
+        split = _in_blocks(index.join(held, "key").drop("blocks"), held.where("blocks is not null"), "id", "inner")
+        split = split.select("key", "sub", "label", "id", "word", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label")
+        offered = _offered(index.join(held, "key", "left_anti")).union(split.mapInArrow(_offer_across_blocks, "u long, v long"))
+    roots = components(some.union(verified(offered)))
     rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
-def _crowded_parts(index: DataFrame, block: int) -> DataFrame:
-    """Keys (column key) that may hold more than ``2 * block`` rows, from rows keyed by whole segments."""
-    full = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    widths = F.create_map(*[F.lit(x) for lo, hi in segments() for x in (lo, hi - lo)])
-    first, part = F.shiftrightunsigned("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
-    bit = full.select(first.alias("lo"), part.alias("part"), F.explode(F.sequence(F.lit(0), widths[first] - 1)).alias("b"))
-    return bit.select(F.expr("shiftleft(cast(lo + b as bigint), 32) | (part & ~shiftleft(1L, b))").alias("key")).distinct()
+def _offered(index: DataFrame) -> DataFrame:
+    return index.repartition("key").sortWithinPartitions("key", "label").mapInArrow(_offer_across, "u long, v long")
 
 
 def _within(pairs: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:

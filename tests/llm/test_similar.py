@@ -81,20 +81,42 @@ def test_across_gives_every_pair_of_labels():
     key, label = rng.integers(0, 12, n), rng.integers(0, 6, n)
     by = np.lexsort((label, key))
     key, label, word = key[by], label[by], np.zeros(n, np.int64)
-    none = np.zeros(n, np.int64)
-    got = [(i, j) for a, b in simhash.across(key, none, label, word, none) for i, j in zip(a.tolist(), b.tolist())]
+    got = [(i, j) for a, b in simhash.across(key, label, word) for i, j in zip(a.tolist(), b.tolist())]
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and label[i] != label[j]}
 
 
-def test_variants_are_shared_by_one_differing_bit():
+def test_wide_fingerprints_count_bits():
     rng = np.random.default_rng(3)
-    one = rng.integers(0, 1 << 63, (1, simhash.WORDS), np.int64)
-    for lo, hi in simhash.segments():
-        for bit in range(lo, hi):
-            bits = np.unpackbits(one.view(np.uint8))
-            bits ^= rng.integers(0, 2, len(bits), np.uint8)
-            bits[lo:hi] = np.unpackbits(one.view(np.uint8))[lo:hi]
-            bits[bit] ^= 1
-            other = np.packbits(bits).view(np.int64).reshape(1, -1)
-            assert bit in {int(k) >> 32 for k in set(simhash.variants(one)[0].tolist()) & set(simhash.variants(other)[0].tolist())}
+    sizes = np.array([1, 2, 254, 255, 256, 1000])
+    hashes = rng.integers(0, 1 << 63, sizes.sum(), np.int64).view(np.uint64)
+    got = simhash.wide_fingerprints(hashes, sizes)
+    at = 0
+    for row, n in zip(got, sizes):
+        for w in range(simhash.WORDS):
+            ones = [0] * 64
+            for h in hashes[at : at + n].tolist():
+                x = ((h ^ (0xA24BAED4963EE407 * (w + 1) % (1 << 64))) * 0x9E3779B97F4A7C15) % (1 << 64)
+                x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % (1 << 64)
+                x ^= x >> 32
+                for k in range(64):
+                    ones[k] += x >> k & 1
+            assert int(row[w]) == sum(1 << k for k in range(64) if 2 * ones[k] > n)
+        at += n
+
+
+def test_keys_are_shared_by_segments_of_one_differing_bit(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(simhash.WORDS)]
+    rows = []
+    for w in range(simhash.WORDS):
+        for lo, hi in zip(simhash.SEGMENTS, simhash.SEGMENTS[1:]):
+            for bit in (lo, hi - 2):
+                noise = rng.getrandbits(63) & ~(((1 << hi) - (1 << lo)))
+                rows.append((w, bit, (base[w] ^ noise ^ (1 << bit)) % (1 << 63)))
+    made = spark.createDataFrame([(w, -1, base[w]) for w in range(simhash.WORDS)] + rows, "at int, bit_ int, fp long")
+    keys = {}
+    for r in simhash._index(made).collect():
+        keys.setdefault(r.key, set()).add((r.bit_, r.fp))
+    for w, bit, fp in rows:
+        assert {(-1, base[w]), (bit, fp)} <= keys[(w * 64 + bit << 22) + next(((base[w] >> lo) & ((1 << hi - lo) - 1) & ~(1 << bit - lo)) for lo, hi in zip(simhash.SEGMENTS, simhash.SEGMENTS[1:]) if lo <= bit < hi)]
