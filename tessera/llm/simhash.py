@@ -10,7 +10,7 @@ so a dense group yields links in proportion to its members, not to its pairs.  K
 blocks; a task compares two blocks with each other, or one with itself.
 
 ``similar_documents`` links texts whose shingle sets have a Jaccard similarity of at least 0.8.  Such pairs differ by about a
-seventh of the bits, so fingerprints have four words of 64 bits, each cut into three segments, and candidates are verified on all bits, then by their
+seventh of the bits, so fingerprints have three words of 64 bits, each cut into three segments, and candidates are verified on all bits, then by their
 shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers all pairs of
 different components.  A pair is missed if none of its segments differs by fewer than two bits.
 """
@@ -39,9 +39,9 @@ BLOCK = 8192
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 #: Words of 64 bits of the fingerprints of ``similar_documents``, and the width of its shingles.
-WORDS, WIDTH = 4, 5
-#: Most differing bits of a candidate: in the first word, which travels with the keys, and in all.
-MOST_IN_WORD, MOST_IN_ALL = 22, 72
+WORDS, WIDTH = 3, 5
+#: Most differing bits of a candidate: in the 32 of another word that travel with a key, and in all.
+MOST_IN_CHECK, MOST_IN_ALL = 11, 54
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -245,18 +245,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(1), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS))], ["doc_id", "id", "text", *(f"w{w}" for w in range(WORDS))])
 
 
-def _near(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((word[a] ^ word[b]).view(np.uint64)) <= MOST_IN_WORD
+def _near(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= MOST_IN_CHECK
 
 
-def neighbours(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of rows and of the next ones, where they have one key and may be near."""
     a = np.flatnonzero(key[1:] == key[:-1])
-    a = a[_near(word, a, a + 1)]
+    a = a[_near(check, a, a + 1)]
     return a, a + 1
 
 
-def across(key: np.ndarray, label: np.ndarray, word: np.ndarray, sub: np.ndarray | None = None, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def across(key: np.ndarray, label: np.ndarray, check: np.ndarray, sub: np.ndarray | None = None, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of one key (and sub), and of different labels, that may be near; rows stand by key, sub and label.
     Rows are compared from the end of their own label on, so a label's own pairs cost nothing.  Where sub stands for two
     blocks, only rows of different blocks (mine) are compared."""
@@ -278,7 +278,7 @@ def across(key: np.ndarray, label: np.ndarray, word: np.ndarray, sub: np.ndarray
     a = np.flatnonzero(partner < end)
     b = partner[a]
     while len(a):
-        good = _near(word, a, b)
+        good = _near(check, a, b)
         if sub is not None:
             good &= ~(two[a] & (mine[a] == mine[b]))
         yield a[good], b[good]
@@ -293,19 +293,24 @@ def _pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _offer_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:  # of a pair of neighbours in different batches, another key offers it, or the second round
-        key, ids, word = (c.to_numpy() for c in b.columns)
-        yield _pairs(ids, *neighbours(key, word))
+        key, ids, check = (c.to_numpy() for c in b.columns)
+        yield _pairs(ids, *neighbours(key, check))
 
 
 def _offer_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, label, ids, word in _by_key(batches, 1):
-        for a, b in across(key, label, word):
+    def unpacked() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(packed >> 32), b.column(1), b.column(2), pa.array(packed & (1 << 32) - 1)], ["key", "label", "id", "check"])
+
+    for key, label, ids, check in _by_key(unpacked(), 1):
+        for a, b in across(key, label, check):
             yield _pairs(ids, a, b)
 
 
 def _offer_across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, sub, label, ids, word, mine in _by_key(batches, 2):
-        for a, b in across(key, label, word, sub, mine):
+    for key, sub, label, ids, check, mine in _by_key(batches, 2):
+        for a, b in across(key, label, check, sub, mine):
             yield _pairs(ids, a, b)
 
 
@@ -331,7 +336,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select("id", "text")
 
     def by_word(prints: DataFrame, *more: str) -> DataFrame:
-        return prints.select("id", *more, F.col("w0").alias("word"), F.posexplode(F.array(*words)).alias("at", "fp"))
+        both = [F.struct(F.col(w).alias("fp"), F.col(other).bitwiseAND(F.lit((1 << 32) - 1)).alias("check")) for w, other in zip(words, words[1:] + words[:1])]
+        return prints.select("id", *more, F.posexplode(F.array(*both)).alias("at", "s")).select("id", *more, "at", "s.fp", "s.check")
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = spool(_within(pairs.distinct(), one, words))
@@ -342,11 +348,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         common = F.size(F.array_intersect("s", "t"))
         return spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
 
-    whole = _parts(by_word(one)).select("key", "id", "word").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    whole = _parts(by_word(one)).select("key", "id", "check").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))
     roots = components(some)
     labelled = spool(one.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), *words))
-    index = _index(by_word(labelled, "label")).select("key", "label", "id", "word")
+    index = _index(by_word(labelled, "label")).select("key", "label", "id", "check")
     crowded = spool(_crowded(by_word(labelled), block))
     if crowded.isEmpty():
         offered = _offered(index)
@@ -354,7 +360,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         held = index.join(crowded, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
         held = spool(held.select("key", F.when(F.col("a") != F.col("b"), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
         split = _in_blocks(index.join(held, "key").drop("blocks"), held.where("blocks is not null"), "id", "inner")
-        split = split.select("key", "sub", "label", "id", "word", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label")
+        split = split.select("key", "sub", "label", "id", "check", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label")
         offered = _offered(index.join(held, "key", "left_anti")).union(split.mapInArrow(_offer_across_blocks, "u long, v long"))
     roots = components(some.union(verified(offered)))
     rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
@@ -363,7 +369,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _offered(index: DataFrame) -> DataFrame:
-    return index.repartition("key").sortWithinPartitions("key", "label").mapInArrow(_offer_across, "u long, v long")
+    """Offers of all keys.  A key has 30 bits, and shares a long with the check: most of the work and disk is this shuffle's."""
+    key = F.shiftrightunsigned("packed", 32)
+    packed = index.select((F.shiftleft("key", 32) + F.col("check")).alias("packed"), "label", "id")
+    return packed.repartition(key).sortWithinPartitions(key, "label").mapInArrow(_offer_across, "u long, v long")
 
 
 def _within(pairs: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
