@@ -61,6 +61,8 @@ class LocalFrame:
 
     origin: tuple[float, float, float]
     to_tile: tuple[tuple[float, float, float], ...]
+    #: Rows of the frame as it is before it is turned: east, up and south on the tile axes.
+    basis: tuple[tuple[float, float, float], ...] = ()
 
     @staticmethod
     def at(lon: float, lat: float, alt: float = 0.0, yaw: float = 0.0, pitch: float = 0.0, roll: float = 0.0) -> LocalFrame:
@@ -72,7 +74,7 @@ class LocalFrame:
         basis = tuple(zip(east, up, tuple(-c for c in north)))
         (cy, sy), (cx, sx), (cz, sz) = ((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (yaw, pitch, roll))
         turned = _times(_times(((cy, 0.0, sy), (0.0, 1.0, 0.0), (-sy, 0.0, cy)), ((1.0, 0.0, 0.0), (0.0, cx, -sx), (0.0, sx, cx))), ((cz, -sz, 0.0), (sz, cz, 0.0), (0.0, 0.0, 1.0)))
-        return LocalFrame(origin, _times(basis, turned))
+        return LocalFrame(origin, _times(basis, turned), basis)
 
     def point_to_local(self, v: Vector) -> Vector:
         d = tuple(c - F.lit(o) for c, o in zip(v, self.origin))
@@ -82,8 +84,9 @@ class LocalFrame:
         return tuple(F.lit(o) + dot(v, tuple(F.lit(c) for c in row)) for o, row in zip(self.origin, self.to_tile))
 
     def direction_to_local(self, east: Column, north: Column, up: Column) -> Vector:
-        """A direction given by east, north and up; nothing is moved.  Right for frames that aren't turned."""
-        return east, up, -north
+        """A direction given by east, north and up at the origin, on the frame's turned axes; nothing is moved."""
+        on_tile = tuple(dot((east, up, -north), tuple(F.lit(c) for c in row)) for row in self.basis)
+        return tuple(dot(on_tile, tuple(F.lit(row[k]) for row in self.to_tile)) for k in range(3))
 
     def root_position(self) -> tuple[float, float, float]:
         return tuple(-sum(self.to_tile[k][c] * self.origin[k] for k in range(3)) for c in range(3))

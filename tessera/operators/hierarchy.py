@@ -22,16 +22,17 @@ def is_wrapper() -> F.Column:  # type: ignore[name-defined]
     return F.coalesce(F.col("uri").contains(".json") & ~F.col("uri").contains(".glb"), F.lit(False))
 
 
-def flatten(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Adds depth and path (from the root, itself included) to rows of tile_id and parent_id; stops at the deepest level."""
+def flatten(edges: DataFrame) -> DataFrame:
+    """Adds depth and path (from the root, itself included) to rows of tile_id and parent_id, down to the deepest level.
+
+    Rows that no root leads to have no place in a tree and give no row."""
     edges = settle(edges.select("tile_id", "parent_id"))
     level = settle(edges.where("parent_id is null").select("tile_id", "parent_id", F.lit(0).alias("depth"), F.array("tile_id").alias("path")))
-    levels = [level]
-    for k in range(1, most):
-        level = settle(edges.join(level.select(F.col("tile_id").alias("parent_id"), "path"), "parent_id").select("tile_id", "parent_id", F.lit(k).alias("depth"), F.concat("path", F.array("tile_id")).alias("path")))
-        if level.isEmpty():
-            break
+    levels = []
+    while not levels or not level.isEmpty():
         levels.append(level)
+        above = level.select(F.col("tile_id").alias("parent_id"), "path")
+        level = settle(edges.join(above, "parent_id").select("tile_id", "parent_id", F.lit(len(levels)).alias("depth"), F.concat("path", F.array("tile_id")).alias("path")))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -53,20 +54,20 @@ def coarser_shown(tiles: DataFrame, paths: DataFrame, shown: DataFrame) -> DataF
     return ancestors(paths).where("steps > 0").join(shown.select("tile_id"), "tile_id").join(above, "above").select("tile_id", "above")
 
 
-def frontier(tiles: DataFrame, depth: int) -> DataFrame:
+def frontier(tiles: DataFrame) -> DataFrame:
     """Rows (tile_id, piece): the first renderable tiles, unresolved wrappers or leaves below each tile, seen through wrappers
-    and structural nodes."""
+    and structural nodes, however deep."""
     kids = tiles.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("parent_id").alias("tile_id"), "n")
     node = tiles.join(kids, "tile_id", "left").select("tile_id", "parent_id", (is_renderable() | F.col("n").isNull()).alias("stops"))
     level = node.select(F.col("parent_id").alias("top"), F.col("tile_id").alias("piece"), "stops").where("top is not null")
     found = [level.where("stops")]
-    for _ in range(depth):
-        level = level.where("not stops").select("top", F.col("piece").alias("parent_id")).join(node, "parent_id").select("top", F.col("tile_id").alias("piece"), "stops")
+    while not level.isEmpty():
+        level = settle(level.where("not stops").select("top", F.col("piece").alias("parent_id")).join(node, "parent_id").select("top", F.col("tile_id").alias("piece"), "stops"))
         found.append(level.where("stops"))
     return reduce(DataFrame.union, found).select(F.col("top").alias("tile_id"), "piece")
 
 
-def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
+def select_cut(tiles: DataFrame, mode: str = "legacy") -> DataFrame:
     """The tiles to show, to hold and to request for one camera: rows (tile_id, role) and the coverage gaps.
 
     ``tiles`` has in_view, refine (whether a finer level is wanted), usable (whether good enough as a fallback) and preload.
@@ -84,7 +85,7 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
     node = tiles.join(has, "tile_id", "left").withColumn("wrapper", is_wrapper()).withColumn("shown", F.col("ready") & is_renderable())
     node = node.withColumn("opens", F.col("first").isNotNull() & (F.col("wrapper") | F.col("refine")))
     if mode == "atomic":
-        pieces = frontier(tiles, depth).join(node.select(F.col("tile_id").alias("piece"), F.col("shown").alias("piece_ready")), "piece")
+        pieces = frontier(tiles).join(node.select(F.col("tile_id").alias("piece"), F.col("shown").alias("piece_ready")), "piece")
         whole = pieces.groupBy("tile_id").agg(F.min("piece_ready").alias("whole"))
         node = node.join(whole, "tile_id", "left").withColumn("holds", F.col("opens") & ~F.col("wrapper") & F.col("shown") & F.col("in_view") & ~F.coalesce("whole", F.lit(True)))
     else:
@@ -96,7 +97,8 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
     keep = ["tile_id", "parent_id", "in_view", "shown", "usable", "preload", "wrapper", "opens", "holds", "first", "uri", "may_hold", "dead"]
     level = node.where("parent_id is null").select(*keep, F.lit(None).cast("long").alias("fallback"), F.lit(False).alias("fallback_usable"), F.lit(None).cast("int").alias("fallback_level"))
     levels = [level]
-    for d in range(depth):
+    while True:  # down to where nothing is walked
+        d = len(levels) - 1
         above = levels[-1].where("opens and not holds").select(
             F.col("tile_id").alias("parent_id"), F.col("wrapper").alias("up_wrapper"), F.col("first").alias("up_first"),
             F.when(F.col("shown"), F.col("tile_id")).otherwise(F.col("fallback")).alias("fallback"),
@@ -104,7 +106,10 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
             F.when(F.col("shown"), F.lit(d)).otherwise(F.col("fallback_level")).alias("fallback_level"),
         )
         level = node.select(*keep).join(above, "parent_id").where("not up_wrapper or tile_id = up_first")
-        levels.append(settle(level.select(*keep, "fallback", "fallback_usable", "fallback_level")))
+        level = settle(level.select(*keep, "fallback", "fallback_usable", "fallback_level"))
+        if level.isEmpty():
+            break
+        levels.append(level)
     below, upward = None, []
     for d, level in reversed(list(enumerate(levels))):
         level = level.withColumn("next", F.when(F.col("shown"), F.col("tile_id")).otherwise(F.col("fallback"))).withColumn("next_usable", F.coalesce(F.when(F.col("shown"), F.col("usable")).otherwise(F.col("fallback_usable")), F.lit(False)))
@@ -134,8 +139,9 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
         upward.insert(0, level)
         below = level.where("parent_id is not null").groupBy("parent_id").agg(F.min("covered").alias("all_covered"), F.max("gives").alias("any_shown"), F.max("reach").alias("deepest")).withColumnRenamed("parent_id", "tile_id")
     alive, out = None, []
-    for level in upward:
+    for d, level in enumerate(upward):
         level = level.withColumn("passes", F.lit(True)).withColumn("kept", F.lit(False)) if alive is None else level.join(alive, "parent_id")
+        level = settle(level) if d % 8 == 7 else level  # else the plan of a deep tree grows with the square of its levels
         out.append(level)
         alive = level.select(F.col("tile_id").alias("parent_id"), (F.col("passes") & F.col("commit")).alias("passes"), (F.col("stands") | (F.col("kept") & F.col("commit"))).alias("kept"))
     asked = (F.col("wrapper") & F.col("first").isNull()) | (is_renderable() & ~F.col("shown") & F.col("preload"))
@@ -153,6 +159,6 @@ def select_cut(tiles: DataFrame, depth: int, mode: str = "legacy") -> DataFrame:
         roles = [rows.select("tile_id", F.lit(role).alias("role")) for role, rows in named]
     if mode == "atomic":
         held = reduce(DataFrame.union, [level.where("holds").select("tile_id") for level in out])
-        waiting = frontier(tiles, depth).join(held, "tile_id").join(node.select(F.col("tile_id").alias("piece"), "shown"), "piece")
+        waiting = frontier(tiles).join(held, "tile_id").join(node.select(F.col("tile_id").alias("piece"), "shown"), "piece")
         roles.append(waiting.select(F.col("piece").alias("tile_id"), F.when(F.col("shown"), "immune").otherwise("requested").alias("role")))
     return reduce(DataFrame.union, roles).distinct()

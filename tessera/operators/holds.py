@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .folds import Machine
 
 
-def may_hold(in_view: Column, ready: Column, sse: Column, finer: Column, most_sse: float = 16.0, factor: float = 8.0) -> Column:
+def may_hold(in_view: Column, ready: Column, sse: Column, finer: Column, most_sse: float = 16.0, factor: float = 3.0) -> Column:
     """Whether a tile may stand for its unfinished children: seen, ready, of a known error that isn't too large, and with a
     finer piece there."""
     return F.coalesce(in_view & ready & finer & (sse > 0) & (sse <= most_sse * factor), F.lit(False))
 
 
-def hold_clock(most_frames: int = 180, cooldown: int = 600) -> Machine:
+def hold_clock(most_frames: int = 45, cooldown: int = 600) -> Machine:
     """The clock of a tile's holds over its frames.
 
     A frame may ``candidate`` for a hold, or have ``advanced`` to all finer tiles, after which none is held for ``cooldown`` frames

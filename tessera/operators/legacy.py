@@ -11,7 +11,7 @@ from .hierarchy import ancestors, is_renderable, visual_ancestor
 from .lineage import settle
 
 
-def drive(tiles: DataFrame, paths: DataFrame, expanded: DataFrame, depth: int, skip: int = 3) -> DataFrame:
+def drive(tiles: DataFrame, paths: DataFrame, expanded: DataFrame, skip: int = 3) -> DataFrame:
     """Rows (action, tile_id) for one frame; each action names a tile once.
 
     ``tiles`` has tile_id, parent_id, uri, in_view, in_range, loaded and hidden; ``paths`` is its flattening, ``expanded`` has
@@ -32,12 +32,10 @@ def drive(tiles: DataFrame, paths: DataFrame, expanded: DataFrame, depth: int, s
     gone = live.where("not (in_view and in_range)").join(stands, "visual", "left").where(is_renderable() | F.coalesce("stands", F.lit(False))).select("tile_id", "parent_id")
     top = gone.join(gone.select(F.col("tile_id").alias("parent_id")), "parent_id", "left_anti").select("tile_id")
     level = settle(top)
-    folded = [level]
-    for _ in range(depth):
-        level = settle(live.join(level.select(F.col("tile_id").alias("parent_id")), "parent_id", "left_semi").select("tile_id"))
-        if level.isEmpty():
-            break
+    folded = []
+    while not folded or not level.isEmpty():
         folded.append(level)
+        level = settle(live.join(level.select(F.col("tile_id").alias("parent_id")), "parent_id", "left_semi").select("tile_id"))
     collapsed = settle(reduce(DataFrame.union, folded).distinct())
     unloaded = node.join(collapsed.select(F.col("tile_id").alias("parent_id")), "parent_id", "left_semi").select("tile_id")
     shown = node.join(collapsed, "tile_id", "left_semi").where("visual is not null").select(F.col("visual").alias("tile_id")).distinct().join(unloaded, "tile_id", "left_anti")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cache_queries, ingest_queries, motion_queries, schedule_queries, source_queries, spatial_queries, stateful_queries, system_queries, telemetry_queries
+from . import cache_queries, frame_queries, ingest_queries, motion_queries, schedule_queries, source_queries, spatial_queries, stateful_queries, system_queries, telemetry_queries
 from .registry import QUERIES, SQL
 
-MODULES = (cache_queries, ingest_queries, motion_queries, schedule_queries, source_queries, spatial_queries, stateful_queries, system_queries, telemetry_queries)
+MODULES = (cache_queries, frame_queries, ingest_queries, motion_queries, schedule_queries, source_queries, spatial_queries, stateful_queries, system_queries, telemetry_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,12 @@ def a5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.cache_key(url, ("ref", "utm_source")).alias("cache_key"), urls.host(url).alias("host"), url.rlike("[?&]key=").alias("has_key"), urls.with_key(url, "k").alias("keyed"), F.concat(F.lit("pc-glb-derived-v1:sha256:"), F.sha2("url", 256)).alias("content_key"))
 
 
-@query(f"SELECT tile_id, CASE WHEN uri LIKE '%.glb%' THEN 'glb' WHEN uri LIKE '%.json%' THEN 'json' WHEN uri IS NOT NULL THEN 'other' ELSE 'none' END AS kind, floor(lon * 1e5 + 0.5) || '_' || floor(lat * 1e5 + 0.5) IS NOT NULL AS keyed, CAST(floor(lon * 1e5 + 0.5) AS BIGINT) AS grid_lon, CAST(floor(lat * 1e5 + 0.5) AS BIGINT) AS grid_lat FROM ({duck(TILE_TABLE)}) t")
+@query(f"SELECT tile_id, CASE WHEN uri LIKE '%.glb%' THEN 'glb' WHEN uri LIKE '%.json%' THEN 'json' WHEN uri IS NOT NULL THEN 'other' ELSE 'none' END AS kind, CAST(floor(lon * 1e5 + 0.5) AS BIGINT) || '_' || CAST(floor(lat * 1e5 + 0.5) AS BIGINT) AS keyed, CAST(floor(lon * 1e5 + 0.5) AS BIGINT) AS grid_lon, CAST(floor(lat * 1e5 + 0.5) AS BIGINT) AS grid_lat FROM ({duck(TILE_TABLE)}) t")
 def d19_grid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid keys of places, and kinds of content."""
     t = view(spark, sf_dir, TILE_TABLE)
-    return t.select("tile_id", urls.content_kind(F.col("uri")).alias("kind"), F.lit(True).alias("keyed"), F.floor(F.col("lon") * 1e5 + 0.5).cast("long").alias("grid_lon"), F.floor(F.col("lat") * 1e5 + 0.5).cast("long").alias("grid_lat"))
+    lon, lat = (F.floor(F.col(c) * 1e5 + 0.5).cast("long") for c in ("lon", "lat"))
+    return t.select("tile_id", urls.content_kind(F.col("uri")).alias("kind"), F.concat_ws("_", lon, lat).alias("keyed"), lon.alias("grid_lon"), lat.alias("grid_lat"))
 
 
 def container(x: float, version: int = 2, **more: object) -> bytes:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as G
 from ..functions import tiles as T
 from ..operators import hierarchy as H
+from ..operators import holds
 from .fixtures import FRAMES, PLACED, TILE_TABLE, TILES, duck, table, view
 from .registry import query
 
@@ -17,7 +18,6 @@ FOV, HEIGHT = math.pi / 3, 1000.0
 #: The camera of single-frame queries: above this place, at this height, looking down.
 CAMERA = (21.7346, 38.2466, 900000.0)
 _P = duck(PLACED)
-_DEPTH = 4
 
 
 def _camera_sql(lon: str, lat: str, alt: str) -> str:
@@ -232,7 +232,7 @@ def e4_coarser_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS ({duck(TILES)}) SELECT parent_id AS tile_id, tile_id AS piece FROM t WHERE depth >= 2 UNION ALL SELECT b.parent_id, a.tile_id FROM t a JOIN t b ON a.parent_id = b.tile_id WHERE b.depth = 1")
 def e5_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: the replacement frontier below each tile, through the wrappers of the first level."""
-    return H.frontier(view(spark, sf_dir, TILE_TABLE), _DEPTH)
+    return H.frontier(view(spark, sf_dir, TILE_TABLE))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("lon") > -100
     factor = F.when(seen, 1.0).otherwise(4.0)
     uri = F.when((F.col("depth") > 1) | (F.col("tile_id") == 1), F.col("uri"))  # one wrapper; the other regions have no content
-    return rows.select("tile_id", "parent_id", "depth", "ord", uri.alias("uri"), "ready", seen.alias("in_view"), (error > 16 * factor).alias("refine"), T.usable_ancestor(F.col("ge"), F.col("dist"), FOV, HEIGHT).alias("usable"), T.preloads(error, factor).alias("preload"))
+    return rows.select("tile_id", "parent_id", "depth", "ord", uri.alias("uri"), "ready", seen.alias("in_view"), (error > 16 * factor).alias("refine"), T.usable_ancestor(F.col("ge"), F.col("dist"), FOV, HEIGHT).alias("usable"), T.preloads(error, factor).alias("preload"), error.alias("sse"))
 
 
 def _cut_sql(mode: str) -> str:
@@ -274,26 +274,27 @@ def _cut_sql(mode: str) -> str:
 @query(_cut_sql("legacy"))
 def select_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut that shows every ready piece and counts gaps."""
-    return H.select_cut(_scored(spark, sf_dir), _DEPTH, "legacy")
+    return H.select_cut(_scored(spark, sf_dir), "legacy")
 
 
 @query(_cut_sql("mixed"))
 def select_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut that shows a ready parent under its ready descendants."""
-    return H.select_cut(_scored(spark, sf_dir), _DEPTH, "mixed")
+    return H.select_cut(_scored(spark, sf_dir), "mixed")
 
 
 @query()
 def select_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut that holds a parent until its whole frontier is ready; tested on small trees."""
-    return H.select_cut(_scored(spark, sf_dir), _DEPTH, "atomic")
+    return H.select_cut(_scored(spark, sf_dir), "atomic")
 
 
 @query()
 def select_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut that holds a parent near the wanted detail while finer tiles arrive; tested on small trees."""
-    tiles = _scored(spark, sf_dir).withColumn("may_hold", F.col("usable")).withColumn("dead", F.col("tile_id") % 41 == 0)
-    return H.select_cut(tiles, _DEPTH, "wave")
+    tiles = _scored(spark, sf_dir)
+    tiles = tiles.withColumn("may_hold", holds.may_hold(F.col("in_view"), F.col("ready"), F.col("sse"), F.lit(True))).withColumn("dead", F.col("tile_id") % 41 == 0)
+    return H.select_cut(tiles, "wave")
 
 
 _CELLS = "(SELECT CAST(p_partkey AS DOUBLE) AS k, CAST(p_partkey % 40 AS DOUBLE) AS gx, CAST(p_partkey // 40 AS DOUBLE) AS gz, CAST(p_size AS DOUBLE) AS gy, CAST(p_partkey AS BIGINT) AS mesh_id FROM part)"

@@ -117,7 +117,7 @@ UNION ALL SELECT 'expand', tile_id FROM opened UNION ALL SELECT 'load', tile_id
 def j13_legacy_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the expand and collapse driver does in a frame."""
     tiles = view(spark, sf_dir, _FLAGGED)
-    return legacy.drive(tiles, hierarchy.flatten(tiles), tiles.where("opened"), depth=4)
+    return legacy.drive(tiles, hierarchy.flatten(tiles), tiles.where("opened"))
 
 
 @query()

@@ -20,12 +20,12 @@ def tree(spark, *rows):
 @pytest.mark.parametrize(("mode", "want"), [("legacy", {(2, "selected"), (3, "requested"), (1, "gap")}), ("mixed", {(1, "selected"), (2, "selected"), (3, "requested")}), ("atomic", {(1, "selected"), (2, "immune"), (3, "requested")})])
 def test_cut_of_half_ready_children(spark, mode, want):
     t = tree(spark, (1, None, "p.glb", True, True), (2, 1, "a.glb", True, False), (3, 1, "b.glb", False, False))
-    assert {tuple(r) for r in hierarchy.select_cut(t, 1, mode).collect()} == want
+    assert {tuple(r) for r in hierarchy.select_cut(t, mode).collect()} == want
 
 
 def test_cut_falls_back_and_sees_through_wrappers(spark):
     t = tree(spark, (1, None, "p.glb", True, True), (2, 1, "w.json", False, False), (3, 2, "a.glb", False, False))
-    assert {tuple(r) for r in hierarchy.select_cut(t, 2).collect()} == {(1, "selected"), (3, "requested")}
+    assert {tuple(r) for r in hierarchy.select_cut(t).collect()} == {(1, "selected"), (3, "requested")}
 
 
 def test_lru_of_three(spark):
@@ -106,7 +106,7 @@ def test_entry_works(spark):
 
 def wave(spark, *rows):
     t = spark.createDataFrame([(i, p, i, uri, ready, True, refine, True, True, may, dead) for i, p, uri, ready, refine, may, dead in rows], TREE + ", may_hold boolean, dead boolean")
-    return {tuple(r) for r in hierarchy.select_cut(t, 2, "wave").collect()}
+    return {tuple(r) for r in hierarchy.select_cut(t, "wave").collect()}
 
 
 def test_wave_holds_advances_and_drops(spark):

@@ -90,7 +90,7 @@ def test_driver_expands_and_collapses(spark):
     paths = hierarchy.flatten(tiles)
 
     def actions(*expanded):
-        got = legacy.drive(tiles, paths, spark.createDataFrame([(e,) for e in expanded], "tile_id long"), 4)
+        got = legacy.drive(tiles, paths, spark.createDataFrame([(e,) for e in expanded], "tile_id long"))
         return {(r.action, r.tile_id) for r in got.collect()}
 
     assert actions(1, 2, 4) == {("collapse", 2), ("collapse", 4), ("unload", 4), ("unload", 5), ("show", 2)}
