@@ -175,10 +175,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     """(text, lang) of a sample of the documents that are not held out, of every language, within the bounds above."""
     own = docs.where(f"{lang_col} is not null and {text_col} is not null").select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(~_held_out(F.col("i")))
     own = own.withColumn("draw", F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) / 1_000_003.0)
-    counts = own.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes")).withColumn("langs", F.expr("count(*) over ()"))
-    most = F.least(F.lit(float(SAMPLE_DOCS)), F.lit(float(SAMPLE_ALL)) / F.col("langs"))
-    share = F.least(F.lit(1.0), most / F.col("n"), F.lit(float(SAMPLE_BYTES)) / F.col("langs") / F.greatest(F.lit(1), F.col("bytes")))
-    chosen = own.join(counts.select("l", share.alias("share")), "l").where("draw < share")
+    counts = own.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes")).collect()  # a row for each language, as the model has
+    most, size = min(SAMPLE_DOCS, SAMPLE_ALL / max(1, len(counts))), SAMPLE_BYTES / max(1, len(counts))
+    shares = [(r["l"], float(min(1.0, most / r["n"], size / max(1, r["bytes"])))) for r in counts]
+    chosen = own.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "l string, share double")), "l").where("draw < share")
     return [(r["t"], r["l"]) for r in chosen.select("i", "t", "l").orderBy("i", "t").collect()]
 
 
