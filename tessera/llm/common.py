@@ -51,13 +51,28 @@ def spool(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(some: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in some:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _discard() -> None:
     with contextlib.suppress(Exception):  # the session may be gone already
-        for spark, path in _spooled:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(_spooled)
+
+
+def spooled() -> int:
+    """How many tables have been spooled."""
+    return len(_spooled)
+
+
+def release(since: int) -> None:
+    """Deletes the tables spooled after the first ``since`` ones, but not the last.  Whoever calls this needs them no more."""
+    _delete(_spooled[since:-1])
+    del _spooled[since:-1]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
