@@ -87,10 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each keeps is written to the shared folder before the next."""
+    """All stages over the documents of sf_dir; what each keeps is written to the shared folder before the next, and what it
+    needed for that is deleted."""
+    since = common.spooled()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.spool(docs)
+            common.release(since)
     return docs
