@@ -18,6 +18,8 @@ SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 BUCKET_ROWS = 250
 #: Keys that a hot join may broadcast: those with at least 1 / HOT_KEYS of all rows.
 HOT_KEYS = 1000
+#: Words of 64 bits of a sieve: a table of at most 16 MB, whatever it is made of.
+SIEVE_WORDS = 1 << 20
 #: The white space that text contracts name: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -121,6 +123,22 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, tot
     return rows.join(F.broadcast(few), keys).unionByName(cold)
 
 
+def sieved(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the ids, and those whose key surely isn't (null keys among these).
+
+    The ids' hashes set bits in a table of SIEVE_WORDS words, which is broadcast: its size is bounded, and with very many ids it
+    only lets more rows through.  So a join with the ids needs a shuffle of the first rows alone.  Both results read ``rows``."""
+
+    def places(c: str) -> tuple[Column, Column]:
+        h = F.xxhash64(c)
+        return h.bitwiseAND(F.lit(SIEVE_WORDS - 1)).alias("_word"), F.shiftrightunsigned(h, 58).cast("int").alias("_bit")
+
+    bits = ids.select(*places(id_col)).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = rows.select("*", *places(key)).join(F.broadcast(bits), "_word", "left")
+    may = F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L = 1L"), F.lit(False)) & F.col(key).isNotNull()
+    return marked.where(may).select(*rows.columns), marked.where(~may).select(*rows.columns)
+
+
 def utf8_bytes(text: Column) -> Column:
     """Bytes of a text; none for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spool
+from .common import release, sieved, slices, spool, spooled
 from .components import components
 
 SEED = 42
@@ -340,13 +340,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return prints.select("id", *more, F.posexplode(F.array(*both)).alias("at", "s")).select("id", *more, "at", "s.fp", "s.check")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        since = spooled()
         near = spool(_within(pairs.distinct(), one, words))
-        needed = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        kept = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+        needed = spool(near.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+        kept = sieved(texts, "id", needed, "id")[0].join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
         sets = spool(kept.mapInArrow(_shingled, "id long, set array<long>"))
         both = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
         common = F.size(F.array_intersect("s", "t"))
-        return spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
+        found = spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
+        release(since)
+        return found
 
     whole = _parts(by_word(one)).select("key", "id", "check").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import simhash
+from tessera.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -120,3 +120,15 @@ def test_keys_are_shared_by_segments_of_one_differing_bit(spark):
         keys.setdefault(r.key, set()).add((r.bit_, r.fp))
     for w, bit, fp in rows:
         assert {(-1, base[w]), (bit, fp)} <= keys[(w * 64 + bit << 22) + next(((base[w] >> lo) & ((1 << hi - lo) - 1) & ~(1 << bit - lo)) for lo, hi in zip(simhash.SEGMENTS, simhash.SEGMENTS[1:]) if lo <= bit < hi)]
+
+
+def test_sieve_parts_rows_and_loses_none(spark):
+    rows = spark.createDataFrame([(k if k % 50 else None, "x", 1) for k in range(3000)], "id long, _bits_of string, other int")
+    ids = spark.createDataFrame([(k,) for k in range(7, 3000, 29)], "wanted long")
+    some, others = common.sieved(rows, "id", ids, "wanted")
+    assert some.columns == others.columns == rows.columns
+    a, b = [r.id for r in some.collect()], [r.id for r in others.collect()]
+    assert len(a) + len(b) == 3000 and b.count(None) == 60 and not set(b) & set(range(7, 3000, 29))
+    assert len(a) <= 2 * ids.count()
+    none, every = common.sieved(rows, "id", ids.limit(0), "wanted")
+    assert none.isEmpty() and every.count() == 3000
