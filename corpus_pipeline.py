@@ -23,10 +23,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", place.alias("place")).alias("key"))
 
 
-def _kept(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows whose key is the id of a judged one."""
-    places = judged.select(F.col("doc_id.place").alias("kept_place"))
-    return rows.withColumn("place", F.col("key.place")).join(places, F.col("place") == F.col("kept_place"), "left_semi").select(*COLUMNS)
+def _without(rows: DataFrame, gone: DataFrame, since: int) -> DataFrame:
+    """The rows whose key is no id of the ones that are gone; what was spooled to find these, after the first ``since``, is deleted."""
+    places = common.spool(gone.select(F.col("doc_id.place").alias("place")))
+    common.release(since)
+    some, others = common.sieved(rows.withColumn("place", F.col("key.place")), "place", places, "place")
+    return others.unionByName(some.join(places, "place", "left_anti")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are one group.
     """
-    rows = _numbered(docs)
-    return _kept(rows, exact_dedup.exact_duplicates(rows, id_col="key").where("kept"))
+    rows, since = _numbered(docs), common.spooled()
+    return _without(rows, exact_dedup.exact_duplicates(rows, id_col="key").where("not kept"), since)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +53,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Candidates come from SimHash deletion variants.  Null texts count as empty; a text of fewer words is one shingle.
     """
-    rows = _numbered(docs)
-    return _kept(rows, simhash.similar_documents(rows, id_col="key").where("doc_id = component_id"))
+    rows, since = _numbered(docs), common.spooled()
+    return _without(rows, simhash.similar_documents(rows, id_col="key").where("doc_id <> component_id"), since)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
