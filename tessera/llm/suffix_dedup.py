@@ -5,9 +5,11 @@ One suffix array of a corpus can't be spread over tasks, so places that may repe
 1. In each 100-byte window, the substring of ``ANCHOR`` bytes with the smallest hash is the window's anchor.  Equal windows
    have equal anchors at equal offsets.  The windows of one anchor are neighbours; together they are its context.  Equal
    contexts are merged inside each batch, then by a shuffle: all but the earliest are removed.  Anchors left with one
-   context repeat nowhere else.
-2. The other contexts are fetched from the texts and dealt into shards by anchor.  Anchors with very many contexts are
-   split into single windows, keyed by their bytes, and merged in each batch again, so that no shard grows with the corpus.
+   context repeat nowhere else.  The windows of a context that hold the anchor at nearly the same offset have most of their
+   bytes in common, its core there; equal windows have equal cores.  So of a context, only windows over a core that another
+   context of the anchor has as well may repeat, and a common line among differing neighbours is no work.
+2. These windows of the contexts are fetched from the texts and dealt into shards by anchor.  Anchors with very many contexts
+   are split into single windows, keyed by their bytes, and merged in each batch again, so that no shard grows with the corpus.
 3. Each shard of about one megabyte gets a suffix array by induced sorting and its permuted common prefixes.  A run of
    suffixes that share 100 bytes is one repeated string; all windows of it but the earliest are removed.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,10 @@ PIECE = 1 << 17
 CROWD = 3000
 #: Bytes of a shard.
 SHARD = 1 << 20
+#: Cores of a context, at most, and bits of a core's hash.
+CORES, CORE_BITS = 4, 21
+#: Contexts of one anchor that are held to compare their cores; if there are more, all their windows are fetched.
+HELD = 1 << 18
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
@@ -77,9 +84,35 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _offsets(size: int) -> list[tuple[int, int]]:
+    """The offsets of an anchor in its windows, first and last, core by core."""
+    count = size - ANCHOR + 1
+    step = -(-count // CORES)
+    return [(lo, min(lo + step, count) - 1) for lo in range(0, count, step)]
+
+
+@cache
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+def _cores(data: np.ndarray, anchor: np.ndarray, least: np.ndarray, most: np.ndarray, size: int) -> list[np.ndarray]:
+    """Hashes of the cores of contexts whose windows hold the anchor at offsets from least to most; zero where there is none."""
+    n = 1 << int(len(data)).bit_length()
+    upto = np.concatenate([[np.uint64(0)], np.cumsum(_CODES[data] * _powers(n, pow(_BASE, -1, 1 << 64))[: len(data)], dtype=np.uint64)])
+    out = []
+    for lo, hi in _offsets(size):
+        has = (most >= lo) & (least <= hi)
+        at = np.where(has, anchor - lo, 0)
+        x = (upto[np.where(has, anchor - hi + size, 0)] - upto[at]) * _powers(n, _BASE)[at]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append((x >> np.uint64(64 - CORE_BITS)).astype(np.int64))
+    return out
+
+
 def contexts(pieces: list[tuple[int, int, bytes]], size: int) -> tuple[np.ndarray, ...]:
     """Contexts of the anchors of all windows in pieces (id, place of its first byte, bytes): the arrays anchor hash,
-    context hash, id, start, bytes, and anchor's offset."""
+    context hash, id, start, span and cores, as in rows."""
     pieces = [p for p in pieces if len(p[2]) >= size]
     if not pieces:
         e = np.zeros(0, np.int64)
@@ -102,7 +135,10 @@ def contexts(pieces: list[tuple[int, int, bytes]], size: int) -> tuple[np.ndarra
     digest = xxhash.xxh3_64_intdigest
     whole = np.array([digest(joined[a:b]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
     ids, bases = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
-    return hashed[anchor], whole, ids[piece], first - begins[piece] + bases[piece], last - first, anchor - first
+    most, n = anchor - first, last - first
+    cores = [*_cores(data, anchor, most - n + size, most, size), *[np.zeros(len(n), np.int64)] * CORES][:CORES]
+    span = (cores[0] << 24) + (n << 8) + most
+    return hashed[anchor], whole, ids[piece], first - begins[piece] + bases[piece], span, sum(c << CORE_BITS * k for k, c in enumerate(cores[1:]))
 
 
 def _pieces(ids: list[int], texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -137,7 +173,8 @@ def _batch(names: list[str], *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
 
 
-_ROW = ["anchor", "context", "doc", "start", "span"]  # span: bytes * 256 + offset of the anchor; -1 - bytes: to be removed
+#: span: hash of the first core, bytes (16 bits) and largest offset of the anchor (8); -1 - bytes: to be removed.  cores: hashes of the others.
+_ROW = ["anchor", "context", "doc", "start", "span", "cores"]
 
 
 def _scan(size: int) -> Callable:
@@ -146,47 +183,77 @@ def _scan(size: int) -> Callable:
             ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             parts = [np.concatenate(x) for x in zip(*(contexts(p, size) for p in _pieces(ids, texts, size)))]
             by = np.lexsort((parts[3], parts[2], parts[1], parts[0]))
-            anchor, context, doc, start, n, offset = (x[by] for x in parts)
+            anchor, context, doc, start, span, cores = (x[by] for x in parts)
+            n = span >> 8 & 0xFFFF
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])[: len(by)]
             first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else by
             gone = (doc != doc[first]) | (start != start[first])
-            yield _batch(_ROW, anchor[new], context[new], doc[new], start[new], n[new] * 256 + offset[new])
+            yield _batch(_ROW, *(x[new] for x in (anchor, context, doc, start, span, cores)))
             d, s, e = _merged(doc[gone], start[gone], start[gone] + n[gone])
             where = np.array([xxhash.xxh3_64_intdigest(x) for x in np.stack([d, s], 1)], np.uint64) if len(d) else d
-            yield _batch(_ROW, where, where, d, s, s - e - 1)
+            yield _batch(_ROW, where, where, d, s, s - e - 1, np.zeros(len(d), np.int64))
 
     return run
 
 
-_FOUND = ["kind", "anchor", "doc", "start", "span"]  # kind 0: remove span bytes; 1: compare this context
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by anchor, context, doc, start.  Only the first row of the last context is held between batches."""
-    held, met = None, False
-    for b in batches:
-        now = [b.column(k).to_numpy() for k in range(5)]
-        gone = now[4] < 0
-        yield _batch(_FOUND, np.zeros(gone.sum(), np.int64), now[0][gone], now[2][gone], now[3][gone], -1 - now[4][gone])
-        now = [x[~gone] for x in now]
-        if held is not None:
-            now = [np.concatenate([h, x]) for h, x in zip(held, now)]
-        anchor, context, doc, start, span = now
-        if not len(anchor):
-            continue
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        gone = (doc != doc[first]) | (start != start[first])
-        yield _batch(_FOUND, np.zeros(gone.sum(), np.int64), anchor[gone], doc[gone], start[gone], span[gone] >> 8)
-        at = np.flatnonzero(new)
-        with_last = np.concatenate([[met], anchor[at[1:]] == anchor[at[:-1]]])
-        asked = with_last.copy()
-        asked[:-1] |= with_last[1:]
-        some = at[:-1][asked[:-1]]
-        yield _batch(_FOUND, np.ones(len(some), np.int64), anchor[some], doc[some], start[some], span[some])
-        held, met = [x[at[-1:]] for x in now], bool(with_last[-1])
-    if held is not None and met:
-        yield _batch(_FOUND, np.ones(1, np.int64), held[0], held[2], held[3], held[4])
+_FOUND = ["kind", "anchor", "doc", "start", "span"]  # kind 0: remove span bytes; 1: compare these windows, span: bytes * 256 + offset
+
+
+def _asked(rows: list[np.ndarray], every: np.ndarray, size: int) -> pa.RecordBatch:
+    """Of distinct contexts, ordered by anchor, the windows over cores that another of the anchor has; of rows in every, all."""
+    anchor, _, doc, start, span, cores = rows
+    beside = anchor[1:] == anchor[:-1]
+    some = np.concatenate([beside, [False]]) | np.concatenate([[False], beside]) | every if len(anchor) else every
+    anchor, doc, start, span, cores, every = (x[some] for x in (anchor, doc, start, span, cores, every))
+    most = span & 0xFF
+    least = most - (span >> 8 & 0xFFFF) + size
+    first, last = np.full(len(most), 1 << 8), np.full(len(most), -1)
+    for k, (lo, hi) in enumerate(_offsets(size)):
+        has = np.flatnonzero((most >= lo) & (least <= hi))
+        core = span[has] >> 24 if not k else cores[has] >> CORE_BITS * (k - 1) & (1 << CORE_BITS) - 1
+        by = np.lexsort((core, anchor[has]))
+        has, core = has[by], core[by]
+        same = (anchor[has[1:]] == anchor[has[:-1]]) & (core[1:] == core[:-1])
+        shared = has[np.append(same, False)[: len(has)] | np.append(False, same)[: len(has)] | every[has]]
+        first[shared] = np.minimum(first[shared], np.maximum(lo, least[shared]))
+        last[shared] = np.maximum(last[shared], np.minimum(hi, most[shared]))
+    on = last >= 0
+    start, span = start + most - last, (last - first + size) * 256 + last
+    return _batch(_FOUND, np.ones(on.sum(), np.int64), anchor[on], doc[on], start[on], span[on])
+
+
+def _compare(size: int, most: int = HELD) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ordered by anchor, context, doc, start.  Between batches, the distinct contexts of the last anchor are held, or
+        if these are too many, only the last one of them, already asked for."""
+        held, full = None, False
+        for b in batches:
+            now = [b.column(k).to_numpy() for k in range(6)]
+            gone = now[4] < 0
+            yield _batch(_FOUND, np.zeros(gone.sum(), np.int64), now[0][gone], now[2][gone], now[3][gone], -1 - now[4][gone])
+            now = [x[~gone] for x in now]
+            if held is not None:
+                now = [np.concatenate([h, x]) for h, x in zip(held, now)]
+            anchor, context, doc, start, span, _ = now
+            if not len(anchor):
+                continue
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            gone = (doc != doc[first]) | (start != start[first])
+            yield _batch(_FOUND, np.zeros(gone.sum(), np.int64), anchor[gone], doc[gone], start[gone], span[gone] >> 8 & 0xFFFF)
+            now = [x[new] for x in now]
+            last, every = now[0] == now[0][-1], (now[0] == now[0][0]) & full
+            skip = int(full)
+            full = bool(every[-1]) or last.sum() > most
+            out = np.ones(len(last), bool) if full else ~last
+            if full:
+                every |= last
+            yield _asked([x[out][skip:] for x in now], every[out][skip:], size)
+            held = [x[-1:] if full else x[last] for x in now]
+        if held is not None and not full:
+            yield _asked(held, np.zeros(len(held[0]), bool), size)
+
+    return run
 
 
 _SHARD_ROW = ["shard_key", "doc", "start", "span", "bytes"]  # bytes null: remove span bytes
@@ -322,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, id_col, text_col, carry)
     types = ", ".join(f"{c} long" for c in _ROW)
     placed = texts.select("doc", "text").mapInArrow(_scan(size), types).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "start")
-    found = spool(placed.mapInArrow(_compare, ", ".join(f"{c} long" for c in _FOUND)))
+    found = spool(placed.mapInArrow(_compare(size), ", ".join(f"{c} long" for c in _FOUND)))
     asked = found.where("kind = 1").drop("kind")
     crowds = asked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded"))
     asked = asked.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))

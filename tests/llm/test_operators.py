@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -246,6 +247,45 @@ def test_suffix_dedup_takes_rows_of_one_id_apart(spark):
     assert sorted(r.kept.decode() for r in got if r.doc_id == 4) == ["x", "y" * 30]
 
 
+def rows_to_compare(texts_, size):
+    """The rows of the first step, in the order that the second takes them, and their batches' names."""
+    docs_ = pa.RecordBatch.from_arrays([pa.array(list(texts_)), pa.array([t.encode() for t in texts_.values()])], ["doc", "text"])
+    rows = [r for b in suffix_dedup._scan(size)(iter([docs_])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    return sorted(rows)
+
+
+def compared(rows, size, most, batch):
+    cut = [rows[k : k + batch] for k in range(0, len(rows), batch)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], suffix_dedup._ROW) for some in cut]
+    return [r for b in suffix_dedup._compare(size, most)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 2])
+@pytest.mark.parametrize("size", [100, 40, 33, 223])
+def test_suffix_dedup_asks_for_all_windows_that_repeat(size, most):
+    rng = random.Random(size)
+    parts = ["".join(rng.choice("ab ") for _ in range(rng.choice([3, 20, 60, 90, 130, 260]))) for _ in range(12)] + ["the " * 50]
+    texts_ = {i: "".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choice("cdef ") for _ in range(rng.randint(1, 60))) for _ in range(8)) for i in range(60)}
+    found = compared(rows_to_compare(texts_, size), size, most, 7)
+    gone = {(doc, at) for kind, _, doc, start, span in found if not kind for at in range(start, start + span)}
+    asked = [(doc, start, texts_[doc][start : start + (span >> 8)].encode()) for kind, _, doc, start, span in found if kind]
+    for doc, start, end in zip(*suffix_dedup.repeated(asked, size)):
+        gone |= {(doc, at) for at in range(start, end)}
+    want = removed_by_hand(texts_, size)
+    assert len(gone) > 1000
+    for i, t in texts_.items():
+        left = "".join(x for at, x in enumerate(t) if (i, at) not in gone).encode()
+        assert hashlib.sha256(left).hexdigest() == want[i][3]
+
+
+def test_suffix_dedup_does_not_ask_for_a_common_line_among_differing_neighbours():
+    rng = random.Random(5)
+    line = "a line of some seventy bytes that very many documents of the corpus hold"
+    texts_ = {i: "".join(rng.choice("abcdefgh") for _ in range(150)) + line + "".join(rng.choice("abcdefgh") for _ in range(150)) for i in range(300)}
+    assert len(line) < 78  # shorter than a core and no less than an anchor
+    assert not any(r[0] for r in compared(rows_to_compare(texts_, 100), 100, 1 << 18, 1000))
+
+
 def test_suffix_array_and_prefixes():
     for seed in range(200):
         rng = random.Random(seed)
