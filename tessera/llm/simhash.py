@@ -11,8 +11,10 @@ blocks; a task compares two blocks with each other, or one with itself.
 
 ``similar_documents`` links texts whose shingle sets have a Jaccard similarity of at least 0.8.  Such pairs differ by about a
 seventh of the bits, so fingerprints have three words of 64 bits, each cut into three segments, and candidates are verified on all bits, then by their
-shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers all pairs of
-different components.  A pair is missed if none of its segments differs by fewer than two bits.
+shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers the pairs of
+different components, but of a row with many partners under a key only an edge to the first text that it is connected with there.  Such edges make
+crowds, in which all pairs of texts are compared by products of matrices; a crowd hands on a forest of its links.  So what is
+offered grows with the rows, and no offer is lost.  A pair is missed if none of its segments differs by fewer than two bits.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ CHUNK = 1 << 16
 WORDS, WIDTH = 3, 5
 #: Most differing bits of a candidate: in the 32 of another word that travel with a key, and in all.
 MOST_IN_CHECK, MOST_IN_ALL = 11, 54
+#: Partners of a row under one key beyond which it is left to its crowd.
+PARTNERS = 8
+#: Texts, and shingles, of a block of a crowd; a task compares two blocks, or one with itself.
+CROWD_TEXTS, CROWD_SHINGLES = 2048, 1 << 20
+#: Texts of two blocks that must have a shingle for it to be a column of a matrix, and columns of one.
+FREQUENT, COLUMNS = 32, 1024
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -297,6 +305,46 @@ def _offer_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _pairs(ids, *neighbours(key, check))
 
 
+def offers(key: np.ndarray, label: np.ndarray, check: np.ndarray, sub: np.ndarray | None = None, mine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The pairs of ``across``, and False; where one of a pair has more than PARTNERS partners, the pair is held back.  Last,
+    and with True, an edge to its first row from each row of whatever the pairs held back connect."""
+    n = len(key)
+    partners = np.zeros(n, np.int64)
+    for a, b in across(key, label, check, sub, mine):
+        partners += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    many, root = partners > PARTNERS, np.arange(n)
+    if not partners.any():
+        return
+    for a, b in across(key, label, check, sub, mine):
+        back = many[a] | many[b]
+        yield a[~back], b[~back], False
+        a, b = a[back], b[back]
+        while (root[a] != root[b]).any():
+            parent = np.arange(n)
+            x, y = root[a], root[b]
+            parent[np.maximum(x, y)[x != y]] = np.minimum(x, y)[x != y]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            root = parent[root]
+    moved = np.flatnonzero(root != np.arange(n))
+    yield moved, root[moved], True
+
+
+def _offered_pairs(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
+    for a, b, crowd in found:
+        if crowd:  # to the smallest id, so that keys of one crowd agree in most edges
+            least = ids.copy()
+            np.minimum.at(least, b, ids[a])
+            members, hubs = np.concatenate([a, np.unique(b)]), least[np.concatenate([b, np.unique(b)])]
+            made = pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(ids[members])], ["u", "v"])
+        else:
+            made = _pairs(ids, a, b)
+        yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, crowd))], _OFFER)
+
+
+_OFFER, _OFFER_TYPES = ["u", "v", "crowd"], "u long, v long, crowd boolean"
+
+
 def _offer_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def unpacked() -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,14 +352,77 @@ def _offer_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(packed >> 32), b.column(1), b.column(2), pa.array(packed & (1 << 32) - 1)], ["key", "label", "id", "check"])
 
     for key, label, ids, check in _by_key(unpacked(), 1):
-        for a, b in across(key, label, check):
-            yield _pairs(ids, a, b)
+        yield from _offered_pairs(ids, offers(key, label, check))
 
 
 def _offer_across_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, sub, label, ids, check, mine in _by_key(batches, 2):
-        for a, b in across(key, label, check, sub, mine):
-            yield _pairs(ids, a, b)
+        yield from _offered_pairs(ids, offers(key, label, check, sub, mine))
+
+
+def alike(sets: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the pairs of sets (of distinct numbers) of Jaccard similarity 0.8 or more; where there are two blocks, over those across."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    row, values = np.repeat(np.arange(n), sizes), np.concatenate(sets)
+    by = np.argsort(values, kind="stable")
+    row, values = row[by], values[by]
+    number = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]]))
+    count = np.bincount(number)[number]
+    common = np.zeros((n, n), np.float32)  # right above the diagonal
+    often = count > FREQUENT
+    r, c = row[often], np.unique(number[often], return_inverse=True)[1]
+    for at in range(0, int(c.max()) + 1 if len(c) else 0, COLUMNS):
+        lo, hi = np.searchsorted(c, (at, at + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[r[lo:hi], c[lo:hi] - at] = 1
+        common += m @ m.T
+    r, c = row[~often], number[~often]
+    for step in range(1, FREQUENT):
+        at = np.flatnonzero(c[step:] == c[:-step])
+        if not len(at):
+            break
+        np.add.at(common, (r[at], r[at + step]), 1)
+    link = np.zeros((n, n), bool)
+    two = block.min() != block.max()
+    for k in range(n):
+        link[k, k + 1 :] = 5 * common[k, k + 1 :] >= 4 * (sizes[k] + sizes[k + 1 :] - common[k, k + 1 :])
+        if two:
+            link[k] &= block != block[k]
+    link |= link.T
+    left, lefts, rights = np.ones(n, bool), [], []
+    for k in range(n):
+        if not left[k]:
+            continue
+        left[k], queue = False, [k]
+        while queue:
+            i = queue.pop()
+            met = np.flatnonzero(link[i] & left)
+            left[met] = False
+            lefts.append(np.full(len(met), i))
+            rights.append(met)
+            queue.extend(met.tolist())
+    return np.concatenate(lefts or [np.zeros(0, np.int64)]), np.concatenate(rights or [np.zeros(0, np.int64)])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by key and sub; those of both equal are compared."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    last = None
+
+    def found() -> pa.RecordBatch:
+        return _pairs(np.array([h[1] for h in held], np.int64), *alike([h[2] for h in held], np.array([h[0] for h in held])))
+
+    for b in batches:
+        key, sub, mine, ids = (b.column(k).to_pylist() for k in range(4))
+        sets = np.split(b.column(4).flatten().to_numpy(), np.cumsum(b.column(4).value_lengths().to_numpy())[:-1]) if b.num_rows else []
+        for now, m, i, x in zip(zip(key, sub), mine, ids, sets):
+            if now != last and held:
+                yield found()
+                held.clear()
+            last = now
+            held.append((m, i, x.copy()))
+    if held:
+        yield found()
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,18 +450,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         both = [F.struct(F.col(w).alias("fp"), F.col(other).bitwiseAND(F.lit((1 << 32) - 1)).alias("check")) for w, other in zip(words, words[1:] + words[:1])]
         return prints.select("id", *more, F.posexplode(F.array(*both)).alias("at", "s")).select("id", *more, "at", "s.fp", "s.check")
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        kept = sieved(texts, "id", needed, "id")[0].join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+        return spool(kept.mapInArrow(_shingled, "id long, set array<long>"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         since = spooled()
         near = spool(_within(pairs.distinct(), one, words))
-        needed = spool(near.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-        kept = sieved(texts, "id", needed, "id")[0].join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
-        sets = spool(kept.mapInArrow(_shingled, "id long, set array<long>"))
+        sets = sets_of(spool(near.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
         both = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
         common = F.size(F.array_intersect("s", "t"))
         found = spool(both.where(5 * common >= 4 * (F.size("s") + F.size("t") - common)).select("u", "v"))
         release(since)
         return found
 
+    def of_crowds(edges: DataFrame) -> DataFrame:
+        since = spooled()
+        # A text has an edge for each of its keys, at most.  All but one are put between its hubs, which are few.
+        star = spool(edges.groupBy("v").agg(F.min("u").alias("u"), F.collect_set("u").alias("hubs")))
+        edges = star.select("u", "v").union(star.select("u", F.explode("hubs").alias("v")).distinct())
+        members = spool(components(edges).select(F.col("node").alias("id"), F.col("root").alias("key")))
+        held = spool(sets_of(members.select("id")).join(members, "id").select("key", "id", "set"))
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CROWD_TEXTS, F.sum(F.size("set")) / CROWD_SHINGLES)).cast("int")
+        split = _in_blocks(held, spool(held.groupBy("key").agg(blocks.alias("blocks"))), "id", "inner")
+        split = split.select("key", "sub", "mine", "id", "set").repartition("key", "sub").sortWithinPartitions("key", "sub")
+        found = spool(split.mapInArrow(_alike, "u long, v long"))
+        release(since)
+        return found
+
     whole = _parts(by_word(one)).select("key", "id", "check").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))
     roots = components(some)
@@ -364,8 +491,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         held = spool(held.select("key", F.when(F.col("a") != F.col("b"), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
         split = _in_blocks(index.join(held, "key").drop("blocks"), held.where("blocks is not null"), "id", "inner")
         split = split.select("key", "sub", "label", "id", "check", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label")
-        offered = _offered(index.join(held, "key", "left_anti")).union(split.mapInArrow(_offer_across_blocks, "u long, v long"))
-    roots = components(some.union(verified(offered)))
+        offered = _offered(index.join(held, "key", "left_anti")).union(split.mapInArrow(_offer_across_blocks, _OFFER_TYPES))
+    offered = spool(offered)
+    roots = components(some.union(verified(offered.where("not crowd").select("u", "v"))).union(of_crowds(offered.where("crowd").select("u", "v"))))
     rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
@@ -375,7 +503,7 @@ def _offered(index: DataFrame) -> DataFrame:
     """Offers of all keys.  A key has 30 bits, and shares a long with the check: most of the work and disk is this shuffle's."""
     key = F.shiftrightunsigned("packed", 32)
     packed = index.select((F.shiftleft("key", 32) + F.col("check")).alias("packed"), "label", "id")
-    return packed.repartition(key).sortWithinPartitions(key, "label").mapInArrow(_offer_across, "u long, v long")
+    return packed.repartition(key).sortWithinPartitions(key, "label").mapInArrow(_offer_across, _OFFER_TYPES)
 
 
 def _within(pairs: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:

@@ -86,6 +86,65 @@ def test_across_gives_every_pair_of_labels():
     assert set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and label[i] != label[j]}
 
 
+def joined(n, pairs):
+    up = list(range(n))
+    for a, b in pairs:
+        up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    return up
+
+
+def test_a_group_of_one_key_is_not_offered_in_pairs():
+    n = 400
+    key = np.concatenate([np.zeros(n, np.int64), [1, 1]])
+    label, word = np.arange(n + 2), np.zeros(n + 2, np.int64)
+    got = [(i, j, crowd) for a, b, crowd in simhash.offers(key, label, word) for i, j in zip(a.tolist(), b.tolist())]
+    assert [(i, j) for i, j, crowd in got if not crowd] == [(n, n + 1)]
+    edges = [(i, j) for i, j, crowd in got if crowd]
+    assert len(edges) <= 2 * n and set(joined(n, edges)) == {0}
+    assert all(len(a) == len(b) for a, b, _ in simhash.offers(key[:0], label[:0], word[:0]))
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_alike_connects_what_all_pairs_connect(blocks):
+    rng = np.random.default_rng(6)
+    base = rng.permutation(5000)[:120]
+    sets = []
+    for k in range(150):
+        x = base.copy()
+        change = rng.integers(0, 30)
+        x[rng.permutation(120)[:change]] = 10000 + rng.integers(0, 500 if k % 2 else 10**9, change)
+        sets.append(np.unique(x[: rng.integers(90, 121)]))
+    sets += [np.array([7]), np.array([7, 8, 9, 10]), np.array([7, 8, 9, 10, 11])]
+    n, block = len(sets), rng.integers(0, blocks, len(sets))
+    own = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]) and (blocks == 1 or block[i] != block[j])}
+    a, b = simhash.alike(sets, block)
+    got = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())}
+    assert got <= want and len(got) < n < len(want) and joined(n, got) == joined(n, want)
+
+
+def test_crowds_of_texts_below_the_limit_keep_their_links(spark, monkeypatch):
+    """Copies of one text at every similarity, most pairs below 0.8: few pairs are asked for, few copies missed, none linked wrongly."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], {}
+    for k in range(200):
+        x = list(base)
+        for _ in range(rng.randrange(12)):
+            x[rng.randrange(len(x))] = f"new{rng.randrange(10**6)}"
+        texts[k] = " ".join(x)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    asked = []
+    monkeypatch.setattr(simhash, "_within", lambda pairs, *more, was=simhash._within: asked.append(pairs.count()) or was(pairs, *more))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    want = components(texts)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == i != c for i, c in want.items()) <= 2  # that share no key with any other
+    assert max(asked) < 10 * len(texts)
+    monkeypatch.setattr(simhash, "CROWD_TEXTS", 30)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == got
+
+
 def test_wide_fingerprints_count_bits():
     rng = np.random.default_rng(3)
     sizes = np.array([1, 2, 254, 255, 256, 1000])
