@@ -13,8 +13,8 @@ blocks; a task compares two blocks with each other, or one with itself.
 seventh of the bits, so fingerprints have three words of 64 bits, each cut into three segments, and candidates are verified on all bits, then by their
 shingles.  Each key first offers neighbours only, which joins large groups; once these are verified, it offers the pairs of
 different components, but of a row with many partners under a key only an edge to the first text that it is connected with there.  Such edges make
-crowds, in which all pairs of texts are compared by products of matrices; a crowd hands on a forest of its links.  So what is
-offered grows with the rows, and no offer is lost.  A pair is missed if none of its segments differs by fewer than two bits.
+crowds, in which all pairs of texts are compared by products of matrices; a crowd hands on a forest of its links.  Pairs of one
+crowd that other keys offer are left to it.  So what is offered grows with the rows, and no offer is lost.  A pair is missed if none of its segments differs by fewer than two bits.
 """
 
 from __future__ import annotations
@@ -454,9 +454,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         kept = sieved(texts, "id", needed, "id")[0].join(needed, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
         return spool(kept.mapInArrow(_shingled, "id long, set array<long>"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         since = spooled()
-        near = spool(_within(pairs.distinct(), one, words))
+        near = spool(_within(pairs.distinct(), prints, words))
         sets = sets_of(spool(near.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
         both = near.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
         common = F.size(F.array_intersect("s", "t"))
@@ -464,12 +464,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         release(since)
         return found
 
-    def of_crowds(edges: DataFrame) -> DataFrame:
-        since = spooled()
+    def crowds_of(edges: DataFrame) -> DataFrame:
         # A text has an edge for each of its keys, at most.  All but one are put between its hubs, which are few.
         star = spool(edges.groupBy("v").agg(F.min("u").alias("u"), F.collect_set("u").alias("hubs")))
         edges = star.select("u", "v").union(star.select("u", F.explode("hubs").alias("v")).distinct())
-        members = spool(components(edges).select(F.col("node").alias("id"), F.col("root").alias("key")))
+        return spool(components(edges).select(F.col("node").alias("id"), F.col("root").alias("key")))
+
+    def compared(members: DataFrame) -> DataFrame:
+        since = spooled()
         held = spool(sets_of(members.select("id")).join(members, "id").select("key", "id", "set"))
         blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CROWD_TEXTS, F.sum(F.size("set")) / CROWD_SHINGLES)).cast("int")
         split = _in_blocks(held, spool(held.groupBy("key").agg(blocks.alias("blocks"))), "id", "inner")
@@ -479,7 +481,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return found
 
     whole = _parts(by_word(one)).select("key", "id", "check").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"))
+    some = verified(whole.mapInArrow(_offer_neighbours, "u long, v long"), one.withColumn("crowd", F.lit(None).cast("long")))
     roots = components(some)
     labelled = spool(one.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), *words))
     index = _index(by_word(labelled, "label")).select("key", "label", "id", "check")
@@ -493,7 +495,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         split = split.select("key", "sub", "label", "id", "check", "mine").repartition("key", "sub").sortWithinPartitions("key", "sub", "label")
         offered = _offered(index.join(held, "key", "left_anti")).union(split.mapInArrow(_offer_across_blocks, _OFFER_TYPES))
     offered = spool(offered)
-    roots = components(some.union(verified(offered.where("not crowd").select("u", "v"))).union(of_crowds(offered.where("crowd").select("u", "v"))))
+    crowds = crowds_of(offered.where("crowd").select("u", "v"))
+    marked = spool(one.join(crowds, "id", "left").select("id", *words, F.col("key").alias("crowd")))
+    roots = components(some.union(verified(offered.where("not crowd").select("u", "v"), marked)).union(compared(crowds)))
     rooted = one.select("id", "least").join(roots, one.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
@@ -506,9 +510,10 @@ def _offered(index: DataFrame) -> DataFrame:
     return packed.repartition(key).sortWithinPartitions(key, "label").mapInArrow(_offer_across, _OFFER_TYPES)
 
 
-def _within(pairs: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
-    """The pairs whose fingerprints differ in at most MOST_IN_ALL bits."""
-    left = one.select(F.col("id").alias("u"), *(F.col(w).alias(f"u_{w}") for w in words))
-    right = one.select(F.col("id").alias("v"), *(F.col(w).alias(f"v_{w}") for w in words))
+def _within(pairs: DataFrame, prints: DataFrame, words: list[str]) -> DataFrame:
+    """The pairs whose fingerprints differ in at most MOST_IN_ALL bits, but those of one crowd (null: none), where all are compared."""
+    left = prints.select(F.col("id").alias("u"), F.col("crowd").alias("u_crowd"), *(F.col(w).alias(f"u_{w}") for w in words))
+    right = prints.select(F.col("id").alias("v"), F.col("crowd").alias("v_crowd"), *(F.col(w).alias(f"v_{w}") for w in words))
     apart = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").where(apart <= MOST_IN_ALL).select("u", "v")
+    one_crowd = F.coalesce(F.col("u_crowd") == F.col("v_crowd"), F.lit(False))
+    return pairs.join(left, "u").join(right, "v").where((apart <= MOST_IN_ALL) & ~one_crowd).select("u", "v")

@@ -145,6 +145,32 @@ def test_crowds_of_texts_below_the_limit_keep_their_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == got
 
 
+def test_pairs_of_one_crowd_are_left_to_it(spark, monkeypatch):
+    """What a crowd compares is not fetched and compared once more as pairs, and no link is lost by that."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], {}
+    for k in range(400):
+        x = list(base)
+        for _ in range(rng.randrange(12)):
+            x[rng.randrange(len(x))] = f"new{rng.randrange(10**6)}"
+        texts[k] = " ".join(x)
+    made = []
+
+    def within(pairs, *more, was=simhash._within):
+        made.append((pairs.count(), was(pairs, *more).count()))
+        return was(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_within", within)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    want = components(texts)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == i != c for i, c in want.items()) <= 4
+    asked, left = made[-1]
+    assert asked > len(texts) and left < asked // 4
+
+
 def test_wide_fingerprints_count_bits():
     rng = np.random.default_rng(3)
     sizes = np.array([1, 2, 254, 255, 256, 1000])
