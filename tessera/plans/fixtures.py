@@ -5,7 +5,8 @@ The texts are SQL that Spark and DuckDB both read; integer arithmetic decides ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TILES = """
 SELECT CAST(0 AS BIGINT) AS tile_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS depth, CAST(0 AS BIGINT) AS ord, CAST(-180 AS DOUBLE) AS lon, CAST(-85 AS DOUBLE) AS lat
@@ -60,3 +61,9 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since the epoch as DuckDB's function of this name has them: the nearest, halves away from the epoch."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.unix_millis(F.timestamp_micros(us + F.when(us < 0, 499).otherwise(500)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import folds, quantiles
-from .fixtures import FRAMES, table, view
+from .fixtures import FRAMES, epoch_ms, table, view
 from .registry import query
 
 _STAGE = "CASE event_type WHEN 'signup' THEN 'requested' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'decoding' WHEN 'purchase' THEN 'visible' END"
@@ -94,7 +94,7 @@ def g4_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where("event_type = 'error'").withColumn("status", F.array(*map(F.lit, (400, 404, 410, 422, 500)))[(F.col("event_id") % 5).cast("int")])
     e = e.withColumn("failures", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     delay, absent = F.least(F.lit(8000.0), 500 * F.pow(F.lit(2.0), F.least(F.col("failures") - 1, F.lit(10)))), F.col("status").isin(404, 410, 422)
-    e = e.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("own", F.floor(F.col("ms") / 600000))
+    e = e.withColumn("ms", epoch_ms(F.col("ts"))).withColumn("own", F.floor(F.col("ms") / 600000))
     e = e.withColumn("stretch", F.explode(F.sequence("own", F.floor((F.col("ms") + 10000) / 600000))))
     e = e.withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy("stretch").orderBy("ms").rangeBetween(-10000, 0))).where("stretch = own")
     return e.select("event_id", "status", F.col("status").isin(400, 401, 403).alias("session_failure"), absent.alias("absent"), F.col("failures").cast("long").alias("failures"), F.when(absent & (F.col("failures") >= 3), F.greatest(delay, F.lit(30000.0))).otherwise(delay).alias("delay_ms"), (F.col("recent") >= 5).alias("burst"))
