@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cache
 from ..operators.lineage import scratch
 from ..sources import store
-from .fixtures import ACCESSES, view
+from .fixtures import ACCESSES, epoch_ms, view
 from .registry import query
 
 _SPAN = f"""WITH a AS (SELECT *, lag(seq) OVER w AS prev, coalesce(lead(seq) OVER w, 9000000000) AS next_ FROM ({ACCESSES}) q WINDOW w AS (PARTITION BY cache_id, key ORDER BY seq)),
@@ -62,7 +62,8 @@ def d17_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, key, coalesce(t0 < busy, false) AS shared, sum(CASE WHEN t0 < busy THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS fetch FROM b""")
 def k3_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: requests for a key while it is being fetched share the fetch."""
-    return cache.coalesced(view(spark, sf_dir, ACCESSES).select("event_id", "key", F.unix_millis(F.col("ts").cast("timestamp")).alias("t0"), (F.unix_millis(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 100).cast("long")).alias("t1")))
+    at = epoch_ms(F.col("ts"))
+    return cache.coalesced(view(spark, sf_dir, ACCESSES).select("event_id", "key", at.alias("t0"), (at + F.floor(F.col("value") * 100).cast("long")).alias("t1")))
 
 
 _PUTS = "SELECT 'k' || (event_id * 7 % 397) AS key, event_id AS written_at, event_id % 90 + 1 AS size FROM events"

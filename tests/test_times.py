@@ -28,3 +28,9 @@ def test_failures_count_rounded_milliseconds(spark, tmp_path, day):
     """Five failures within ten seconds by whole milliseconds, but not by rounded ones, and the reverse."""
     at = [day * 86_400_000_000 + us for us in (400, 1_000_000, 2_000_000, 3_000_000, 10_000_500, 60_000_500, 61_000_000, 62_000_000, 63_000_000, 70_001_499)]
     assert [r.burst for r in same_as_sql(spark, tmp_path, "g4_failures", "error", at, 1.0)] == [False] * 9 + [True]
+
+
+def test_fetches_are_shared_by_rounded_milliseconds(spark, tmp_path):
+    """Fetches take 5 ms: one from 0.6 ms on ends at 6 ms, which the request at 5.4 ms shares."""
+    at = [-5_500, -500, -499, 600, 5_400, 10_400, 20_400, 25_500]
+    assert [r.shared for r in same_as_sql(spark, tmp_path, "k3_coalescing", "view", at, 0.05)] == [False, False, True, True, True, False, False, False]
