@@ -67,3 +67,9 @@ def epoch_ms(ts: Column) -> Column:
     """Milliseconds since the epoch as DuckDB's function of this name has them: the nearest, halves away from the epoch."""
     us = F.unix_micros(ts.cast("timestamp"))
     return F.unix_millis(F.timestamp_micros(us + F.when(us < 0, 499).otherwise(500)))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows spread over all cores by key: a table of many narrow rows may be one split, whose rows would all be made into
+    files by one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)

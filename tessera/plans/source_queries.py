@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import LocalFrame
 from ..operators import sessions
 from ..sources import geojson, gltf, tileset
-from .fixtures import table, view
+from .fixtures import dealt, table, view
 from .ingest_queries import container
 from .registry import query
 
@@ -88,7 +88,7 @@ def _textured(k: int) -> bytes:
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = F.udf(lambda k: bytearray(_textured(k)), "binary")  # stands for files
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), make("p_partkey").alias("content"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("mesh_id"), make("p_partkey").alias("content"))
 
 
 @query("""SELECT p_partkey AS mesh_id, p_partkey % 10 <> 9 AS supported, CASE WHEN ok THEN CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey ELSE '' END END AS material, CASE WHEN ok THEN CASE WHEN p_partkey % 3 = 0 THEN 0.25e0 ELSE 1e0 END END AS green,

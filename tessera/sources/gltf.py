@@ -14,6 +14,8 @@ from .glb import chunks
 # Filters and wrapping that a sampler has if it names none.
 LINEAR, LINEAR_MIPMAP, REPEAT = 9729, 9987, 10497
 
+_OUT_ROWS, _OUT_BYTES = 8192, 8 << 20
+
 _MATERIAL = (
     "name: string, pbrMetallicRoughness: struct<baseColorFactor: array<double>, baseColorTexture: struct<index: int, extensions: string>>, doubleSided: boolean, alphaMode: string, "
     "alphaCutoff: double, extensions: struct<KHR_materials_unlit: string>"
@@ -43,38 +45,50 @@ def documents(files: DataFrame, id_col: str = "path", bytes_col: str = "content"
     return files.select(id_col, bytes_col).mapInArrow(run, f"{id_col} {kind}, doc string")
 
 
+def _images_of(data: bytes | None) -> list[tuple[int, str, str, bytes]]:
+    try:
+        doc, binary = chunks(data or b"")
+        out = []
+        for k, image in enumerate(doc.get("images", ())):
+            view = doc["bufferViews"][image["bufferView"]]
+            start, n = view.get("byteOffset", 0), view.get("byteLength", 0)
+            if image.get("uri") or view.get("buffer", 0) or start + n > len(binary):
+                return []
+            out.append((k, image.get("name", ""), image["mimeType"], binary[start : start + n]))
+        return out
+    except (ValueError, KeyError, IndexError, TypeError):
+        return []
+
+
+def image_batches(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
+    """The images of batches (id, bytes), those of many containers in one batch."""
+
+    def pack(ids: pa.Array, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.string(), pa.string(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *columns], [id_col, "image", "name", "mime", "bytes"])
+
+    for b in batches:
+        of, found, held = [], [], 0
+        for k, data in enumerate(b.column(1)):
+            own = _images_of(data.as_py())
+            found += own
+            of += [k] * len(own)
+            held += sum(len(body) for *_, body in own)
+            if len(found) >= _OUT_ROWS or held >= _OUT_BYTES:
+                yield pack(b.column(0), of, found)
+                of, found, held = [], [], 0
+        if found:
+            yield pack(b.column(0), of, found)
+
+
 def images(files: DataFrame, id_col: str = "path", bytes_col: str = "content") -> DataFrame:
     """(id, image, name, mime, bytes): each image inside a container.
 
     A container that names an image outside itself, or one that leaves its binary chunk, gives none, like one that can't be
     read.
     """
-
-    def of(data: bytes | None) -> list[tuple[str, str, bytes]]:
-        try:
-            doc, binary = chunks(data or b"")
-            out = []
-            for image in doc.get("images", ()):
-                view = doc["bufferViews"][image["bufferView"]]
-                start, n = view.get("byteOffset", 0), view.get("byteLength", 0)
-                if image.get("uri") or view.get("buffer", 0) or start + n > len(binary):
-                    return []
-                out.append((image.get("name", ""), image["mimeType"], binary[start : start + n]))
-            return out
-        except (ValueError, KeyError, IndexError, TypeError):
-            return []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, data in enumerate(b.column(1).to_pylist()):
-                found = of(data)
-                if found:
-                    name, mime, body = (list(c) for c in zip(*found))
-                    ids = b.column(0).take(pa.array([k] * len(found)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int32()), pa.array(name, pa.string()), pa.array(mime, pa.string()), pa.array(body, pa.binary())], [id_col, "image", "name", "mime", "bytes"])
-
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, bytes_col).mapInArrow(run, f"{id_col} {kind}, image int, name string, mime string, bytes binary")
+    return files.select(id_col, bytes_col).mapInArrow(lambda batches: image_batches(batches, id_col), f"{id_col} {kind}, image int, name string, mime string, bytes binary")
 
 
 def project(docs: DataFrame, doc: str = "doc") -> DataFrame:
