@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import ancestors, is_renderable, visual_ancestor
+from .hierarchy import ancestors, below, is_renderable, visual_ancestor
 from .lineage import settle
 
 
@@ -54,9 +54,9 @@ def drive(tiles: DataFrame, paths: DataFrame, expanded: DataFrame, skip: int = 3
     return reduce(DataFrame.union, [rows.select(F.lit(name).alias("action"), "tile_id") for name, rows in steps])
 
 
-def reset_failures(tiles: DataFrame, within: DataFrame, paths: DataFrame) -> DataFrame:
-    """The tiles with failures, retry_at and dead cleared at and below the tiles of ``within``."""
-    below = ancestors(paths).join(within.select(F.col("tile_id").alias("above")), "above", "left_semi").select("tile_id").distinct().withColumn("_clear", F.lit(True))
-    out = tiles.join(below, "tile_id", "left")
+def reset_failures(tiles: DataFrame, within: DataFrame, edges: DataFrame) -> DataFrame:
+    """The tiles with failures, retry_at and dead cleared at and below the tiles of ``within``; ``edges`` has tile_id and parent_id."""
+    cleared = below(edges, within).withColumn("_clear", F.lit(True))
+    out = tiles.join(cleared, "tile_id", "left")
     clear = F.coalesce("_clear", F.lit(False))
     return out.withColumns({"failures": F.when(clear, 0).otherwise(F.col("failures")), "retry_at": F.when(~clear, F.col("retry_at")), "dead": F.when(clear, False).otherwise(F.col("dead"))}).drop("_clear")

@@ -115,7 +115,7 @@ def j15_reset_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures forgotten at and below some tiles."""
     t = view(spark, sf_dir, _FAILED)
     within = spark.createDataFrame([(2,), (103,), (1007,)], "tile_id long")
-    return legacy.reset_failures(t, within, hierarchy.flatten(t)).select("tile_id", "failures", "retry_at", "dead")
+    return legacy.reset_failures(t, within, t).select("tile_id", "failures", "retry_at", "dead")
 
 
 @query(f"WITH t AS ({duck(TILE_TABLE)}) SELECT tile_id, CASE WHEN tile_id % 3 = 0 THEN 'a' ELSE 'r' END || tile_id AS entity, tile_id % 3 <> 0 AS resident FROM t WHERE tile_id % 3 = 0 OR tile_id % 4 = 0")
