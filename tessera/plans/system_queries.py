@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import hierarchy, legacy, quantiles, states
+from ..operators import legacy, quantiles, states
 from .fixtures import FRAMES, TILE_TABLE, duck, table, view
 from .registry import query
 
@@ -54,9 +54,7 @@ def c7_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE t AS MATERIALIZED ({duck(_FLAGS)}), w AS (SELECT tile_id, enabled AS on_ FROM t WHERE parent_id IS NULL UNION ALL SELECT t.tile_id, t.enabled AND on_ FROM t JOIN w ON t.parent_id = w.tile_id) SELECT tile_id, visible AND on_ AS alive FROM w JOIN t USING (tile_id)""")
 def c16_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that are seen because they and all above them are enabled."""
-    t = view(spark, sf_dir, _FLAGS)
-    above = hierarchy.ancestors(hierarchy.flatten(t)).select("tile_id", "above").union(t.select("tile_id", F.col("tile_id").alias("above")))
-    return states.enabled_throughout(t, above)
+    return states.enabled_throughout(view(spark, sf_dir, _FLAGS))
 
 
 @query(f"""SELECT coalesce(a.tile_id, b.tile_id) AS tile_id, CASE WHEN b.tile_id IS NULL THEN 'clear' ELSE 'set' END AS change, depth FROM (SELECT tile_id FROM ({duck(TILE_TABLE)}) t WHERE tile_id % 3 = 0) a

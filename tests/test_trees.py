@@ -2,8 +2,10 @@
 
 import re
 
-from tessera.operators import hierarchy, legacy
+from tessera.operators import hierarchy, legacy, states
+from tessera.plans import catalog
 
+SF_DIR = "/root/testdata/sf0.001"
 TILES = "tile_id long, parent_id long"
 
 
@@ -29,3 +31,15 @@ def test_failures_are_reset_without_rows_of_ancestors(spark):
     assert not joined_on_above(got) and {(r.tile_id, r.failures) for r in got.collect()} == {(1, 1), (2, 0), (3, 0), (7, 4)}
     got = legacy.reset_failures(tiles, spark.createDataFrame([(2,), (6,)], "tile_id long"), tiles)
     assert {(r.tile_id, r.failures) for r in got.collect()} == {(1, 1), (2, 0), (3, 0), (7, 0)}
+
+
+def test_enabled_throughout(spark):
+    # 2 is off and so is all under it, 3 has no flag, 5 is not visible but lets 6 be; 9 has no root.
+    rows = [(1, None, True, True), (2, 1, True, False), (3, 1, True, None), (4, 2, True, True), (5, 1, None, True), (6, 5, True, True), (7, 4, True, True), (8, None, True, True), (9, 99, True, True)]
+    got = states.enabled_throughout(spark.createDataFrame(rows, f"{TILES}, visible boolean, enabled boolean"))
+    assert {(r.tile_id, r.alive) for r in got.collect()} == {(1, True), (2, False), (3, False), (4, False), (5, False), (6, True), (7, False), (8, True)}
+    assert states.enabled_throughout(spark.createDataFrame([], f"{TILES}, visible boolean, enabled boolean")).count() == 0
+
+
+def test_enabled_tiles_are_found_without_rows_of_ancestors(spark):
+    assert not joined_on_above(catalog.queries()["c16_enabled"](spark, SF_DIR))
