@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import ancestors, below, is_renderable, visual_ancestor
+from .hierarchy import below, is_renderable, marked_above, visual_ancestor
 from .lineage import settle
 
 
@@ -47,9 +47,10 @@ def drive(tiles: DataFrame, paths: DataFrame, expanded: DataFrame, skip: int = 3
         opened.append(level)
     opened = settle(reduce(DataFrame.union, opened).distinct().join(stay, "tile_id", "left_anti")) if opened else stay.limit(0)
     loads = node.join(opened.select(F.col("tile_id").alias("parent_id")), "parent_id", "left_semi").where("not loaded").select("tile_id")
-    above = ancestors(paths).join(opened, "tile_id", "left_semi").join(node.where(is_renderable()).select(F.col("tile_id").alias("above"), "hidden"), "above")
-    above = above.join(shown.select(F.col("tile_id").alias("above"), F.lit(True).alias("again")), "above", "left").join(node.select("tile_id", "visual"), "tile_id")
-    hides = above.where("above = visual or not hidden or again").select(F.col("above").alias("tile_id")).distinct()
+    again = shown.withColumn("again", F.lit(True))
+    coarse = node.where(is_renderable()).join(again, "tile_id", "left").where("not hidden or again")
+    above = marked_above(paths, coarse).join(opened, "tile_id", "left_semi").select(F.explode("chain").alias("tile_id"))
+    hides = above.union(node.join(opened, "tile_id", "left_semi").where("visual is not null").select("visual")).distinct()
     steps = (("reconcile", lost), ("collapse", collapsed), ("unload", unloaded), ("show", shown), ("expand", opened), ("load", loads), ("hide", hides))
     return reduce(DataFrame.union, [rows.select(F.lit(name).alias("action"), "tile_id") for name, rows in steps])
 

@@ -43,3 +43,15 @@ def test_enabled_throughout(spark):
 
 def test_enabled_tiles_are_found_without_rows_of_ancestors(spark):
     assert not joined_on_above(catalog.queries()["c16_enabled"](spark, SF_DIR))
+
+
+def test_marked_tiles_above(spark):
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (8, None)], TILES)
+    marked = spark.createDataFrame([(1,), (3,), (3,), (4,), (None,)], "tile_id long")
+    got = hierarchy.marked_above(hierarchy.flatten(edges), marked).collect()
+    assert {r.tile_id: r.chain for r in got} == {1: [1], 2: [1], 3: [1, 3], 4: [1, 3, 4], 8: []}
+
+
+def test_ancestors_are_found_without_rows_of_ancestors(spark):
+    for name in ("e3_visual_ancestor", "e4_coarser_ancestors", "c25_collapse_ready"):
+        assert not joined_on_above(catalog.queries()[name](spark, SF_DIR))
